@@ -148,7 +148,7 @@ j as (select *, coalesce(heard >= window_start_us + 300000000, false) as late,
 ORACLES = {
     "p1_found": """with v as (select *, row_number() over (partition by alert_id order by updated_at desc, lot_id desc nulls last,
     raised_at desc nulls last, cleared_at desc nulls last) as rn from alerts where alert_id is not null and updated_at is not null),
-i as (select lot_id, epoch_us(raised_at) as s, epoch_us(cleared_at) as e from v where rn = 1 and lot_id is not null and cleared_at > raised_at),
+i as (select lot_id, epoch_us(raised_at) as s, max(epoch_us(cleared_at)) as e from v where rn = 1 and lot_id is not null and cleared_at > raised_at group by all),
 r as (select *, max(e) over (partition by lot_id order by s, e rows between unbounded preceding and 1 preceding) as reach from i),
 g as (select *, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by lot_id order by s, e rows unbounded preceding) as island from r),
 p as (select lot_id, min(s) as start_us, max(e) as end_us from g group by lot_id, island),

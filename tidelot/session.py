@@ -39,7 +39,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (an upper bound from file sizes for scans without joins)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
