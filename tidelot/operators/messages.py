@@ -29,18 +29,14 @@ def canonical_id(c: str | Column) -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     bare = F.translate(F.lower(c), BLANKS + "{}()-_", "")
-    bare = F.when(bare.startswith("urn:uuid:"), F.substring(bare, 10, 1 << 20)).otherwise(bare)
-    bare = F.when(bare.startswith("0x"), F.substring(bare, 3, 1 << 20)).otherwise(bare)
-    digits = F.ltrim(bare, F.lit("0"))
-    padded = F.when((F.length(bare) == 32) | (bare == ""), bare).otherwise(F.lpad(digits, F.greatest(F.length(digits), F.lit(32)), F.lit("0")))
-    plain = F.when(bare.rlike("^[0-9a-f]+$"), F.unhex(padded)).otherwise(F.encode(F.concat(F.lit("not-a-number:"), bare), "utf-8"))
-    return F.when(bare != "", plain)
+    # Each mention is evaluated again where an engine cannot share subexpressions (filters), hence one pass strips prefix and zeros.
+    digits = F.regexp_replace(bare, "^(urn:uuid:|0x)?0*(?=.)", "")
+    return F.when(bare != "", F.coalesce(F.unhex(digits), F.encode(F.concat(F.lit("not-a-number:"), digits), "utf-8")))
 
 
-def delivery_key(id_col: str = "event_id") -> Column:
-    """`canonical_id`, or a key of its own for a delivery without one, so that null identifiers spread over all tasks."""
-    own = F.encode(F.concat_ws(":", F.lit("without-identifier"), "kafka_partition", "kafka_offset"), "utf-8")
-    return F.coalesce(canonical_id(id_col), own)
+def own_key(id_col: str) -> Column:
+    """Null beside an identifier, else the delivery's position: null identifiers match nothing and spread over all tasks."""
+    return F.when(F.col(id_col).isNull(), F.concat_ws(":", "kafka_partition", "kafka_offset"))
 
 
 def ranked(df: DataFrame) -> DataFrame:
@@ -49,14 +45,15 @@ def ranked(df: DataFrame) -> DataFrame:
 
 
 def first_delivered(df: DataFrame, payload: Sequence[str], id_col: str = "event_id") -> DataFrame:
-    """One row per identifier with the arrival and `payload` columns of its first delivery.
+    """`id` (null where there is none), arrival and `payload` of the first delivery of each identifier.
 
     A minimum over (arrival, payload) structs: partial aggregation keeps one row per identifier and
     map task, so an identifier delivered any number of times never gathers in one task.
     """
     cols = [*RANK, *(c for c in payload if c not in RANK)]
-    best = ranked(df).groupBy(delivery_key(id_col).alias("_key")).agg(F.min(F.struct(*cols)).alias("_first"))
-    return best.select("_first.*")
+    rows = ranked(df).select(canonical_id(id_col).alias("_id"), *cols).withColumn("_own", own_key("_id"))
+    best = rows.groupBy("_id", "_own").agg(F.min(F.struct(*cols)).alias("_first"))
+    return best.select(F.col("_id").alias("id"), "_first.*")
 
 
 def messages(df: DataFrame, payload: Sequence[str]) -> DataFrame:

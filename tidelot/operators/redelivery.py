@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelot.operators.messages import canonical_id, ranked
+from tidelot.operators.messages import first_delivered, ranked
 from tidelot.operators.store import VersionedTable
 from tidelot.session import materialise, scratch_dir
 
@@ -41,12 +41,10 @@ class MessageStore:
         if state["last_batch"] is not None and batch <= state["last_batch"]:
             return False
         cols = ["ingest_ts", "kafka_offset", "kafka_partition", *self.payload]
-        keyed = ranked(deliveries).select(canonical_id(self.id_col).alias("id"), *cols)
-        named = keyed.filter("id is not null")
-        # Partial aggregation leaves one row per identifier and map task, however often it was delivered.
-        incoming = materialise(named.groupBy("id").agg(F.min(F.struct(*cols)).alias("m")).select("id", "m.*"), "batch-winners")
+        incoming = materialise(first_delivered(deliveries, list(self.payload), self.id_col), "batch-winners")
         # The join is on log positions, which are unique: no identifier's copies gather anywhere.
-        lost = named.select("kafka_partition", "kafka_offset").join(incoming, ["kafka_partition", "kafka_offset"], "left_anti").distinct()
+        position = ["kafka_partition", "kafka_offset"]
+        lost = ranked(deliveries).select(*position).join(incoming.select(*position), position, "left_anti").distinct()
         fresh, put, index = incoming, {}, self.index.state()
         if index["parts"]:
             seen = self.index.read(state=index)
@@ -65,12 +63,12 @@ class MessageStore:
             lost = lost.unionByName(moved.select("was.kafka_partition", "was.kafka_offset"))
             lost = lost.unionByName(pairs.filter("loses").select("m.kafka_partition", "m.kafka_offset"))
             fresh = incoming.join(known.select("id"), "id", "left_anti")
-        kept = fresh.unionByName(keyed.filter("id is null")).withColumn("part", F.lit(batch))
+        kept = fresh.withColumn("part", F.lit(batch))
         put[str(batch)] = {"path": self.data.write(kept)[""], "stats": {}}
         if (log := self.surplus_log.state())["last_batch"] is None or batch > log["last_batch"]:
             self.surplus_log.commit(log, {str(batch): {"path": self.surplus_log.write(lost)[""], "stats": {}}}, batch=batch)
         if index["last_batch"] is None or batch > index["last_batch"]:
-            ids = fresh.select("id", F.lit(batch).alias("part"))
+            ids = fresh.filter("id is not null").select("id", F.lit(batch).alias("part"))
             self.index.commit(index, {str(batch): {"path": self.index.write(ids)[""], "stats": {}}}, batch=batch)
         self.data.vacuum(self.data.commit(state, put, batch=batch))
         return True
