@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelot.functions.timing import HOUR_US, MINUTE_US
-from tidelot.llm import distinct, mixing, runs, tokens
+from tidelot.llm import distinct, mixing, runs, tokens, truncation
 from tidelot.operators import messages
 from tidelot.session import broadcast_if_small, materialise, table
 
@@ -92,3 +92,15 @@ def p9_mix_selection(spark: SparkSession, d: str) -> DataFrame:
 def p9_mix_shares(spark: SparkSession, d: str) -> DataFrame:
     """Wanted and reached share of each source."""
     return _mix(spark, d)[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_incomplete(table(spark, d, "documents")).filter("incomplete").select("doc_id")
+
+
+def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that are not blank and how many of them are incomplete, per source (null is one)."""
+    found = truncation.find_incomplete(table(spark, d, "documents"))
+    n = F.count(F.lit(1))
+    cut = F.count_if("incomplete")
+    return found.groupBy("source").agg(n.alias("n_docs"), cut.alias("n_incomplete"), (cut / n).alias("share"))
