@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from tidelot.plans import streams
+    from tidelot.plans import stream_core, streams
 
-    return [streams]
+    return [streams, stream_core]
