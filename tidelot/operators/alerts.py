@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidelot.operators import scans
 
 
-def hysteresis(readings: DataFrame, key: str, at: str, seq: str, fraction: str, raise_at: float = 0.90, clear_at: float = 0.85, shard: str | None = None) -> DataFrame:
-    """Edges of a latch: (`key`, `at`, `seq`, `state`) where it is raised at `raise_at` or above and cleared at `clear_at` or below.
+def hysteresis(readings: DataFrame, key: str, at: str, seq: list[str], fraction: str, raise_at: float = 0.90, clear_at: float = 0.85, shard: str | None = None) -> DataFrame:
+    """Edges of a latch: (`key`, `at`, columns of `seq`, `state`) where it is raised at `raise_at` or above and cleared at `clear_at` or below.
 
     Readings in between keep the state; the first state is cleared. Readings older than one already
     seen (by `at` in order of `seq`) are stale and ignored; equal ones count. `shard` is a column
@@ -18,16 +18,16 @@ def hysteresis(readings: DataFrame, key: str, at: str, seq: str, fraction: str,
     if not 0 < clear_at < raise_at <= 1:
         raise ValueError("need 0 < clear_at < raise_at <= 1")
     x = readings.filter(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(fraction).isNotNull())
-    x = x.select(key, at, seq, fraction, (F.col(shard) if shard else F.lit(0)).alias("_shard"))
-    x = scans.scan(x, [key], "_shard", [seq], tops={"_newest": at}).filter(F.col("_newest").isNull() | (F.col(at) >= F.col("_newest")))
+    x = x.select(key, at, *(c for c in seq if c != at), fraction, (F.col(shard) if shard else F.lit(0)).alias("_shard"))
+    x = scans.scan(x, [key], "_shard", seq, tops={"_newest": at}).filter(F.col("_newest").isNull() | (F.col(at) >= F.col("_newest")))
     decided = x.withColumn("state", F.when(F.col(fraction) >= raise_at, "RAISED").when(F.col(fraction) <= clear_at, "CLEARED")).filter("state is not null")
-    edges = scans.scan(decided.drop("_newest"), [key], "_shard", [seq], lags={"_was": "state"})
-    return edges.filter(F.col("state") != F.coalesce("_was", F.lit("CLEARED"))).select(key, at, seq, "state")
+    edges = scans.scan(decided.drop("_newest"), [key], "_shard", seq, lags={"_was": "state"})
+    return edges.filter(F.col("state") != F.coalesce("_was", F.lit("CLEARED"))).select(key, at, *(c for c in seq if c != at), "state")
 
 
-def pair_edges(edges: DataFrame, key: str, at: str, seq: str) -> DataFrame:
+def pair_edges(edges: DataFrame, key: str, at: str, seq: list[str]) -> DataFrame:
     """(`key`, `raised_at`, `cleared_at`) from alternating edges; `cleared_at` is null while raised. Edges are few: one window per key."""
-    w = Window.partitionBy(key).orderBy(seq)
+    w = Window.partitionBy(key).orderBy(*seq)
     x = edges.withColumn("cleared_at", F.lead(at).over(w)).filter("state = 'RAISED'")
     return x.select(key, F.col(at).alias("raised_at"), "cleared_at")
 

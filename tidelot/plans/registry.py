@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from tidelot.plans import stream_core, streams
+    from tidelot.plans import monitoring, reads, stream_core, streams
 
-    return [streams, stream_core]
+    return [streams, stream_core, reads, monitoring]
