@@ -62,7 +62,7 @@ def scan(
         cond = cond & c
     both = local.join(carry, cond)
     out = (
-        {o: F.col(f"_s_{o}") + F.coalesce(f"s_{o}", F.lit(0)) for o in sums}
+        {o: F.coalesce(F.col(f"_s_{o}") + F.col(f"s_{o}"), f"_s_{o}", f"s_{o}") for o in sums}
         | {o: F.greatest(f"_t_{o}", f"t_{o}") for o in tops}
         | {o: F.when(F.col("_first"), F.col(f"l_{o}")).otherwise(F.col(f"_l_{o}")) for o in lags}
         | {o: F.when(F.col("_last"), F.col(f"f_{o}")).otherwise(F.col(f"_f_{o}")) for o in leads}

@@ -42,9 +42,11 @@ def _time(text: str) -> Column:
 def parse_strict(log: DataFrame) -> DataFrame:
     """`log` (`value` binary, and any other columns) with the event's fields and `error`: null only for a valid event.
 
-    Malformed JSON, missing or surplus fields, times without a zone, and broken rules are errors.
+    Malformed JSON, missing or surplus fields, times without a zone, and broken rules are errors. A column
+    of `log` that is named like a field gives way to it.
     """
     names = EVENT.fieldNames()
+    log = log.drop(*names)
     raw = T.StructType([T.StructField(n, T.StringType()) for n in names])
     text = F.col("value").cast("string")
     x = log.withColumns({"_e": F.from_json(text, raw), "_keys": F.json_object_keys(text)})
