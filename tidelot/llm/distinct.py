@@ -55,10 +55,12 @@ class _Groups:
         else:
             np.minimum(mine, registers, out=mine)
 
-    def flush(self) -> pa.RecordBatch:
+    def flush(self, but: tuple | None = None) -> pa.RecordBatch:
+        """Pass on all groups, except the one named `but`, which sorted input may go on with."""
+        kept = {but: self.open.pop(but)} if but is not None else {}
         keys = list(self.open)
         cols = [[k[i] for k in keys] for i in range(len(self.schema) - 1)] + [[v.tobytes() for v in self.open.values()]]
-        self.open = {}
+        self.open = kept
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, self.schema, strict=True)], schema=self.schema)
 
 
@@ -122,7 +124,7 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
             for key, raw in zip(names, b.column(len(keys)), strict=True):
                 groups.fold(key, np.frombuffer(raw.as_buffer(), np.float32))
                 if len(groups.open) > MAX_OPEN:
-                    yield groups.flush()
+                    yield groups.flush(but=key)
         yield groups.flush()
 
     local = sketches.select(*keys, "registers").mapInArrow(combine, ddl)
