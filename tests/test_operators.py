@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidelot.operators import alerts, grid, intervals, lateness, messages, metrics, occupancy, redelivery, scans, sessions, upserts
+from tidelot.operators import alerts, grid, intervals, lateness, messages, metrics, occupancy, redelivery, scans, sessions, upserts, validation
 from tidelot.operators.store import VersionedTable
 
 
@@ -325,6 +325,16 @@ def test_quantile_and_rates(spark):
     assert metrics.increases(s, "k", "at", "v").first()["increase"] == 6
 
 
+def test_valid_is_no_error(spark):
+    words = [None, "", "occupied ", "FREE", "Broken", "HEARTBEAT", "\toccupancy"]
+    rows = [(e, k, st, tok, ok) for e in (None, "", "1") for k in words for st in words for tok in (None, "t") for ok in (True, False)]
+    df = spark.createDataFrame(rows, "event_id string, event_type string, status string, vehicle_token string, ok boolean")
+    ts = F.when(F.col("ok"), F.timestamp_micros(F.lit(0)))
+    df = df.select("*", ts.alias("event_ts"), ts.alias("ingest_ts"), *(F.lit("x").alias(c) for c in ("sensor_id", "lot_id", "slot_id")))
+    got = df.select(validation.is_valid().alias("a"), validation.event_error().isNull().alias("b"))
+    assert got.filter("a <> b").count() == 0 and 0 < got.filter("a").count() < len(rows)
+
+
 def test_regression_guard_and_late_correction(spark):
     t = 300_000_000 * 5_000_000
     row = lambda i, slot, sec, status: (f"{i:04x}", "occupancy ", f"S{slot}", "L", slot, status, "ab" if status.strip().lower() == "occupied" else None, t + sec * 1_000_000, t, 0, i)
