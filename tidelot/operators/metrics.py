@@ -13,10 +13,8 @@ def offset_ranges(log: DataFrame) -> DataFrame:
 
 
 def lag(committed: DataFrame, ends: DataFrame) -> DataFrame:
-    """(`group`, `partition`, `lag`): what a group has still to read; without a commit it starts at the lowest offset."""
-    groups = committed.select("group").distinct()
-    x = groups.crossJoin(F.broadcast(ends.select("partition", "low", "high")))  # a row per group and partition
-    x = x.join(committed, ["group", "partition"], "left")
+    """(`group`, `partition`, `lag`): what a group has still to read of each partition it lists; a null commit starts at the lowest offset."""
+    x = committed.join(ends.select("partition", "low", "high"), "partition")
     return x.select("group", "partition", F.greatest(F.lit(0), F.col("high") - F.coalesce("committed", "low")).alias("lag"))
 
 

@@ -48,15 +48,15 @@ def silent_sensors(spark: SparkSession, d: str) -> DataFrame:
     """Sensors whose last heartbeat lies more than an hour before the newest one of all."""
     h = validation.valid_events(_events(spark, d)).filter(canonical_word("event_type") == "HEARTBEAT")
     last = h.groupBy("lot_id", "sensor_id").agg(F.max(F.unix_micros("event_ts")).alias("last"))
-    newest = last.agg(F.max("last").alias("newest"))
-    return last.crossJoin(F.broadcast(newest)).filter(F.col("newest") - F.col("last") > HOUR_US).select("lot_id", "sensor_id", "last")
+    newest = last.agg(F.max("last")).scalar()
+    return last.filter(newest - F.col("last") > HOUR_US)
 
 
 def lag_by_group(spark: SparkSession, d: str) -> DataFrame:
     """Lag of two groups, one of which committed all batches up to number 20 and one nothing in partition 0."""
     log = _log(spark, d)
     early = log.filter("batch_no <= 20").groupBy("partition").agg((F.max("offset") + 1).alias("committed")).withColumn("group", F.lit("processor"))
-    some = early.filter("partition <> 0").withColumn("group", F.lit("sink"))
+    some = early.withColumns({"group": F.lit("sink"), "committed": F.when(F.col("partition") != 0, F.col("committed"))})
     return metrics.lag(early.unionByName(some), metrics.offset_ranges(log))
 
 
@@ -165,8 +165,8 @@ select cast(sum(n) as bigint) as messages, cast(sum(n) filter (where bad) as big
     "silent_sensors": f"""with {VALID_SQL}, h as (select lot_id, sensor_id, max(epoch_us(event_ts)) as last from reasons where reason is null and kind = 'HEARTBEAT' group by all)
 select * from h where (select max(last) from h) - last > 3600000000""",
     "lag_by_group": f"""with {_LOG}, c as (select p, max(o) + 1 as committed from log where batch_no <= 20 group by p),
-g as (select 'processor' as grp, p, committed from c union all select 'sink', p, committed from c where p <> 0)
-select gg.grp as "group", e.p as partition, greatest(0, high - coalesce(committed, low)) as lag from (select distinct grp from g) gg cross join ends e left join g on g.grp = gg.grp and g.p = e.p""",
+g as (select 'processor' as grp, p, committed from c union all select 'sink', p, case when p <> 0 then committed end from c)
+select grp as "group", p as partition, greatest(0, high - coalesce(committed, low)) as lag from g join ends using (p)""",
     "rate_from_offsets": f"""with {_LOG}, x as (select p as partition, t - t % 3600000000 as at_us, max(o) as end_offset from log group by all)
 select partition, at_us as "at", end_offset, case when end_offset < lag(end_offset) over w then 0.0
     else (end_offset - lag(end_offset) over w) / ((at_us - lag(at_us) over w) / 1e6) end as rate from x window w as (partition by partition order by at_us)""",

@@ -74,8 +74,7 @@ def latest_per_lot_lateral(spark: SparkSession, d: str) -> DataFrame:
 def sparkline_topn(spark: SparkSession, d: str, points: int = 24) -> DataFrame:
     """The newest `points` occupancies of each lot within two days of the newest window, oldest first, as one text of hundredths."""
     w = stored_windows(spark, d)
-    now = w.agg(F.max("window_start").alias("now"))  # one row
-    recent = w.crossJoin(F.broadcast(now)).filter(F.col("window_start") > F.col("now") - 2 * DAY_US)
+    recent = w.filter(F.col("window_start") > w.agg(F.max("window_start")).scalar() - 2 * DAY_US)
     # At most two days of windows per lot reach the ordered list.
     lists = recent.groupBy("lot_id").agg(F.sort_array(F.collect_list(F.struct("window_start", num.hundredths("avg_occupancy_pct").alias("v"))), asc=False).alias("l"))
     newest = F.reverse(F.slice("l", 1, points))
@@ -144,11 +143,10 @@ def history(windows: DataFrame, lot_id: str, start: int | None = None, end: int
     if not 1 <= limit <= 2000:
         raise ValueError("limit must be within 1 and 2000")
     x = windows.filter(F.col("lot_id") == lot_id)
-    last = x.agg((F.max("window_start") + WINDOW_US).alias("_end"))  # one row
-    x = (hourly(x).withColumnRenamed("bucket", "window_start") if resolution == "1h" else x).crossJoin(F.broadcast(last))
-    until = F.lit(end) if end is not None else F.col("_end")
+    until = F.lit(end) if end is not None else x.agg(F.max("window_start") + WINDOW_US).scalar()
+    x = hourly(x).withColumnRenamed("bucket", "window_start") if resolution == "1h" else x
     since = F.lit(start) if start is not None else until - (DAY_US if resolution == "5m" else 7 * DAY_US)
-    return x.filter((F.col("window_start") >= since) & (F.col("window_start") < until)).orderBy("window_start").limit(limit).drop("_end")
+    return x.filter((F.col("window_start") >= since) & (F.col("window_start") < until)).orderBy("window_start").limit(limit)
 
 
 def history_page(spark: SparkSession, d: str, lot_id: str = "LOT-07") -> DataFrame:
@@ -173,13 +171,12 @@ def alerts_page(spark: SparkSession, d: str, kind: str | None = "FULL_LOT", stat
     if not 1 <= limit <= 200 or offset < 0:
         raise ValueError("limit must be within 1 and 200 and offset not negative")
     a = stored_alerts(spark, d)
-    now = a.agg(F.max("updated_at").alias("_now")) if as_of is None else spark.range(1).select(F.unix_micros(F.lit(as_of)).alias("_now"))
+    now = a.agg(F.max("updated_at")).scalar() if as_of is None else F.unix_micros(F.lit(as_of))
     hits = alerts_where(a, kind, status, lot_id)
-    total = hits.agg(F.count(F.lit(1)).alias("total"))
+    total = hits.agg(F.count(F.lit(1))).scalar()
     page = hits.orderBy(F.col("raised_at").desc_nulls_last(), "alert_id").offset(offset).limit(limit)
-    page = page.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(now))  # one row each
-    seconds = F.greatest(F.lit(0.0), (F.coalesce("cleared_at", "_now") - F.col("raised_at")) / 1e6)
-    return page.select("alert_id", "kind", "lot_id", "status", "raised_at", "cleared_at", seconds.alias("duration_s"), "total")
+    seconds = F.greatest(F.lit(0.0), (F.coalesce(F.col("cleared_at"), now) - F.col("raised_at")) / 1e6)
+    return page.select("alert_id", "kind", "lot_id", "status", "raised_at", "cleared_at", seconds.alias("duration_s"), total.alias("total"))
 
 
 def active_alerts(spark: SparkSession, d: str) -> DataFrame:
