@@ -131,6 +131,6 @@ def select_mix(records: DataFrame, targets: DataFrame, total_tokens: float | Non
     available = [(s, float(w), int(c), int(stats[s]["tokens"]) if s in stats else 0) for s, (w, c) in wanted.items()]
     report = spark.createDataFrame(available, "source string, target_share double, max_repeats int, tokens_available bigint").join(F.broadcast(used), "source", "left")
     report = report.fillna(0, ["docs", "copies", "tokens_selected", "most_repeats"])
-    whole = used.agg(F.sum("tokens_selected").alias("_all"))
-    report = report.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.coalesce(F.col("tokens_selected") / F.col("_all"), F.lit(0.0))).drop("_all")
+    whole = used.agg(F.sum("tokens_selected")).scalar()
+    report = report.withColumn("actual_share", F.coalesce(F.col("tokens_selected") / whole, F.lit(0.0)))
     return picked, report
