@@ -22,16 +22,20 @@ def canonical_word(c: str | Column) -> Column:
     return F.upper(F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(BLANKS)))
 
 
-def canonical_id(c: str | Column) -> Column:
+def canonical_id(c: str | Column, digits: int = 32) -> Column:
     """The number behind a hexadecimal identifier as binary, whatever its case, braces, dashes, prefix or leading zeros.
 
-    Text that is no hexadecimal number stands for itself; text without any digit is null.
+    Numbers of up to `digits` digits are written with that many. Text that is no hexadecimal number
+    stands for itself; text without any sign but blanks and punctuation is null.
     """
     c = F.col(c) if isinstance(c, str) else c
-    bare = F.translate(F.lower(c), BLANKS + "{}()-_", "")
-    # Each mention is evaluated again where an engine cannot share subexpressions (filters), hence one pass strips prefix and zeros.
-    digits = F.regexp_replace(bare, "^(urn:uuid:|0x)?0*(?=.)", "")
-    return F.when(bare != "", F.coalesce(F.unhex(digits), F.encode(F.concat(F.lit("not-a-number:"), digits), "utf-8")))
+    bare = F.translate(c, BLANKS + "{}()-_", "")
+    # Nearly all identifiers have all their digits and no prefix; only the others pay for a pattern.
+    whole = F.when(F.length(bare) == digits, F.unhex(bare))
+    number = F.regexp_replace(F.lower(bare), "^(urn:uuid:|0x)?0*(?=.)", "")
+    padded = F.unhex(F.lpad(number, F.greatest(F.length(number), F.lit(digits)), F.lit("0")))
+    text = F.encode(F.concat(F.lit("not-a-number:"), number), "utf-8")
+    return F.when(bare != "", F.coalesce(whole, padded, text))
 
 
 def own_key(id_col: str) -> Column:
