@@ -13,7 +13,7 @@ from tidelot.session import broadcast_if_small, materialise, table
 
 def _tokens_seen(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "parking_events").filter("vehicle_token is not null and lot_id is not null and event_ts is not null")
-    return e.select("lot_id", "event_ts", messages.canonical_id("vehicle_token").alias("token"))
+    return e.select("lot_id", "event_ts", messages.canonical_id("vehicle_token", 16).alias("token"))
 
 
 def p2_distinct_tokens(spark: SparkSession, d: str) -> DataFrame:

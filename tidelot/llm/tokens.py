@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,9 +156,13 @@ def decode(df: DataFrame, ids: str, keep: list[str], tokenizer: str = BYTE_BPE_5
     ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "text string, lead binary, tail binary"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(tokenizer)
+        table = pa.array(token_bytes(tokenizer), pa.large_binary())
         for b in batches:
-            texts = [(None, None, None) if i is None else split_characters(b"".join(table[x] for x in i)) for i in b.column(len(keep)).to_pylist()]
+            ids = b.column(len(keep))
+            flat = table.take(ids.flatten())
+            ends = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(ids), 0).to_numpy()]))
+            raw = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), flat), pa.scalar(b"", pa.large_binary()))
+            texts = [(None, None, None) if not known else split_characters(r) for r, known in zip(raw.to_pylist(), ids.is_valid().to_pylist(), strict=True)]
             cols = [pa.array([x[k] for x in texts], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols], names=[*keep, "text", "lead", "tail"])
 
