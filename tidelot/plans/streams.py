@@ -119,10 +119,10 @@ numbered as (
 messages as (select *, epoch_us(event_ts) as ts from numbered where k is null or rn = 1)"""
 
 _P3 = f"""with {MESSAGES_SQL},
-m as (select lot_id, slot_id, ts from messages
+m as (select lot_id, slot_id, ts, kafka_offset as o from messages
   where kind = 'OCCUPANCY' and st in ('OCCUPIED', 'FREE') and lot_id is not null and slot_id is not null and ts is not null),
-f as (select *, case when ts - lag(ts) over (partition by lot_id, slot_id order by ts) <= 3600000000 then 0 else 1 end as fresh from m),
-g as (select *, sum(fresh) over (partition by lot_id, slot_id order by ts rows unbounded preceding) as island from f),
+f as (select *, case when ts - lag(ts) over (partition by lot_id, slot_id order by ts, o) <= 3600000000 then 0 else 1 end as fresh from m),
+g as (select *, sum(fresh) over (partition by lot_id, slot_id order by ts, o rows unbounded preceding) as island from f),
 s as (select lot_id, slot_id, min(ts) as start_us, max(ts) as end_us, count(*) as n_events from g group by lot_id, slot_id, island)
 select """
 
