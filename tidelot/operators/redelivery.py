@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidelot.operators.messages import first_delivered, ranked
 from tidelot.operators.store import VersionedTable
-from tidelot.session import materialise, scratch_dir
+from tidelot.session import Staging, scratch_dir
 
 
 class MessageStore:
@@ -40,20 +40,26 @@ class MessageStore:
         state = self.data.state()
         if state["last_batch"] is not None and batch <= state["last_batch"]:
             return False
+        with Staging(self.spark, "message-batch") as staging:
+            self._fold(deliveries, batch, state, staging)
+        return True
+
+    def _fold(self, deliveries: DataFrame, batch: int, state: dict, staging: Staging) -> None:
         cols = ["ingest_ts", "kafka_offset", "kafka_partition", *self.payload]
-        incoming = materialise(first_delivered(deliveries, list(self.payload), self.id_col), "batch-winners")
+        incoming = staging.write(first_delivered(deliveries, list(self.payload), self.id_col), "winners")
         # The join is on log positions, which are unique: no identifier's copies gather anywhere.
         position = ["kafka_partition", "kafka_offset"]
         lost = ranked(deliveries).select(*position).join(incoming.select(*position), position, "left_anti").distinct()
         fresh, put, index = incoming, {}, self.index.state()
-        if index["parts"]:
-            seen = self.index.read(state=index)
-            known = materialise(incoming.join(seen, "id"), "batch-known")
+        earlier = [p for p in index["parts"] if p != str(batch)]  # a first try of this batch may have got as far as its index
+        if earlier:
+            seen = self.index.read(earlier, index)
+            known = staging.write(incoming.join(seen, "id"), "known")
             touched = [str(r["part"]) for r in known.select("part").distinct().collect()]  # at most one per batch
             history = self.data.read(touched, state).select("id", F.struct(*cols).alias("was"))
             pairs = known.select("id", "part", F.struct(*cols).alias("m")).join(history, "id")
             rank = lambda c: F.struct(*(f"{c}.{r}" for r in cols[:3]))
-            pairs = materialise(pairs.select("*", (rank("m") < rank("was")).alias("moves"), (rank("m") > rank("was")).alias("loses")), "batch-pairs")
+            pairs = staging.write(pairs.select("*", (rank("m") < rank("was")).alias("moves"), (rank("m") > rank("was")).alias("loses")), "pairs")
             moved = pairs.filter("moves")
             changed = [str(r["part"]) for r in moved.select("part").distinct().collect()]
             if changed:
@@ -71,7 +77,6 @@ class MessageStore:
             ids = fresh.filter("id is not null").select("id", F.lit(batch).alias("part"))
             self.index.commit(index, {str(batch): {"path": self.index.write(ids)[""], "stats": {}}}, batch=batch)
         self.data.vacuum(self.data.commit(state, put, batch=batch))
-        return True
 
     def messages(self) -> DataFrame:
         return self.data.read()

@@ -3,7 +3,9 @@
 Each commit writes the replaced partitions beside the old ones and then creates the next
 numbered manifest. Creation fails if that number exists, so of two writers one wins whole and
 a reader or a crashed writer never sees a part of a commit. A batch that was already
-committed is skipped, which makes replays of a failed job harmless.
+committed is skipped, which makes replays of a failed job harmless. The folder must lie on a file
+system that renames atomically. `vacuum` removes what the newest state no longer names, so a
+reader holds on to a state only until the next commit.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelot.functions.timing import DAY_US, HOUR_US, MINUTE_US, SECOND_US
 from tidelot.operators import grid, intervals, lateness, messages, redelivery, sessions
-from tidelot.session import materialise, scratch_dir, table
+from tidelot.session import Staging, materialise, scratch_dir, table
 
 #: Batches that a finished log is replayed in where an operator works batch by batch.
 INCREMENTS = 3
@@ -36,10 +36,11 @@ def session_table(spark: SparkSession, d: str, gap_us: int = 60 * MINUTE_US) ->
     m = m.withColumns({"ts": F.unix_micros("event_ts"), "step": F.coalesce(F.expr("batch_no") - F.lit(lo or 0), F.lit(0)).cast("bigint")})
     m = m.withColumn("step", F.floor(F.col("step") / step).cast("int"))
     keys = ["lot_id", "slot_id"]
-    cells = materialise(sessions.session_cells(m, keys, "ts", gap_us, also=["step"]), "session-cells")
     out = sessions.SessionTable(spark, scratch_dir(spark, "session-table"), keys, gap_us)
-    for i in range(INCREMENTS):
-        out.apply(cells.filter(F.col("step") == i).drop("step"), i)
+    with Staging(spark, "session-cells") as staging:
+        cells = staging.write(sessions.session_cells(m, keys, "ts", gap_us, also=["step"]), "cells")
+        for i in range(INCREMENTS):
+            out.apply(cells.filter(F.col("step") == i).drop("step"), i)
     return out
 
 
