@@ -253,6 +253,21 @@ def test_message_store_rewrites_only_what_changes(spark, tmp_path):
     assert rows_of(store.surplus(), "kafka_offset") == [(1,), (4,)]
 
 
+def test_message_store_survives_a_batch_that_died(spark, tmp_path, monkeypatch):
+    store = redelivery.MessageStore(spark, str(tmp_path / "s"))
+    rows = lambda *x: spark.createDataFrame(list(x), "event_id string, t bigint, kafka_partition int, kafka_offset bigint").withColumn("ingest_ts", F.timestamp_micros("t"))
+    store.apply(rows(("1", 10, 0, 1)), 0)
+    batch = rows(("2", 20, 0, 2), ("1", 5, 0, 3), ("2", 30, 0, 4))
+    with monkeypatch.context() as m:
+        m.setattr(store.data, "commit", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.apply(batch, 1)
+    assert rows_of(store.messages(), "kafka_offset") == [(1,)]
+    assert store.apply(batch, 1)
+    assert rows_of(store.messages(), "kafka_offset") == [(2,), (3,)]
+    assert rows_of(store.surplus(), "kafka_offset") == [(1,), (4,)]
+
+
 def test_message_store_empty(spark, tmp_path):
     _, df = deliveries(spark)
     store = redelivery.MessageStore(spark, str(tmp_path / "s"))
