@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +50,28 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once, wherever they run and whatever their path holds."""
+    context = spark.sparkContext
+    if getattr(context, "_tidelot_shipped", False):
+        return
+    package = Path(__file__).parent
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark, 'package')}/{package.name}.zip")
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        stream.write(bytearray(raw.getvalue()))
+    finally:
+        stream.close()
+    context.addPyFile(place.toString())
+    context._tidelot_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
