@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelot.functions.timing import HOUR_US, MINUTE_US
+from tidelot.functions.timing import DAY_US, HOUR_US, MINUTE_US, cell_of
 from tidelot.llm import distinct, mixing, runs, tokens, truncation
 from tidelot.operators import messages
 from tidelot.session import broadcast_if_small, materialise, table
@@ -21,7 +21,7 @@ def p2_distinct_tokens(spark: SparkSession, d: str) -> DataFrame:
 
     Lots without metadata have a null personality of their own.
     """
-    seen = _tokens_seen(spark, d).select(F.to_date("event_ts").cast("string").alias("day"), "lot_id", "token")
+    seen = _tokens_seen(spark, d).select(F.date_from_unix_date(cell_of("unix_micros(event_ts)", DAY_US).cast("int")).cast("string").alias("day"), "lot_id", "token")
     kind = table(spark, d, "lot_metadata").groupBy("lot_id").agg(F.min("personality").alias("personality"))
     base = materialise(distinct.sketch(seen, ["day", "lot_id"], "token"), "token-sketches")
     base = base.join(broadcast_if_small(kind), "lot_id", "left")
