@@ -25,3 +25,8 @@ def test_query(spark, name):
         cols = [c[0] for c in res.description]
         assert sorted(cols) == sorted(df.columns)
         assert sorted(res.fetchall()) == sorted(tuple(r[c] for c in cols) for r in rows)
+
+
+def test_beside_windows_has_the_stated_bounds(spark):
+    r = registry.modules()[0].QUERIES["p2_beside_windows"](spark, SF).filter("estimate > 0").selectExpr("max((ci_high - ci_low) / estimate) AS width").first()
+    assert 0 < r["width"] < 0.14  # 1.96 standard errors of 3.1 % to either side

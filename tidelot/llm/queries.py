@@ -32,7 +32,7 @@ def p2_distinct_tokens(spark: SparkSession, d: str) -> DataFrame:
     return distinct.counts(distinct.merge(each, ["grouping", *keys])).drop("registers")
 
 
-def p2_beside_windows(spark: SparkSession, d: str, k: int = 256) -> DataFrame:
+def p2_beside_windows(spark: SparkSession, d: str, k: int = 1024) -> DataFrame:
     """Each stored window's last estimate beside one made here from the deliveries of that window."""
     w = table(spark, d, "lot_occupancy_5min").filter("lot_id is not null and window_start is not null and emitted_at is not null")
     w = w.groupBy("lot_id", "window_start").agg(F.max(F.struct("closed", "emitted_at", "unique_vehicles_est"))["unique_vehicles_est"].alias("unique_vehicles_est"))
