@@ -104,3 +104,9 @@ def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
     n = F.count(F.lit(1))
     cut = F.count_if("incomplete")
     return found.groupBy("source").agg(n.alias("n_docs"), cut.alias("n_incomplete"), (cut / n).alias("share"))
+
+
+def p10_by_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many texts each kind of evidence shows to be incomplete."""
+    found = truncation.find_incomplete(table(spark, d, "documents")).filter("incomplete")
+    return found.groupBy("evidence").agg(F.count(F.lit(1)).alias("n_docs"))

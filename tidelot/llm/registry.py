@@ -7,7 +7,7 @@ from types import SimpleNamespace
 from tidelot.llm import queries as q
 from tidelot.llm.sql import ORACLES
 
-_NAMES = ("p2_distinct_tokens", "p2_beside_windows", "p7_found", "p7_near_runs", "p8_ids", "p8_round_trip", "p9_mix_selection", "p9_mix_shares", "p10_found", "p10_by_source")
+_NAMES = ("p2_distinct_tokens", "p2_beside_windows", "p7_found", "p7_near_runs", "p8_ids", "p8_round_trip", "p9_mix_selection", "p9_mix_shares", "p10_found", "p10_by_source", "p10_by_evidence")
 
 
 def modules() -> list:
