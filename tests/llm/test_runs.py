@@ -19,14 +19,19 @@ def best_cost(events, mismatch, penalty):
     return best[-1]
 
 
+@pytest.mark.parametrize("weighted", [False, True])
 @pytest.mark.parametrize("mismatch", [0.4, 1.0, 3.0])
-def test_segmenter_is_optimal(mismatch):
+def test_segmenter_is_optimal(mismatch, weighted):
     rng = random.Random(4)
     for _ in range(60):
-        events = [(rng.choice("ab"), rng.choice([None, "x"])) for _ in range(rng.randint(1, 18))]
-        dp, done = runs.Segmenter(2, mismatch, 1.0), []
+        events = [(rng.choice("aaab"), rng.choice([None, None, "x"])) for _ in range(rng.randint(1, 18))]
+        dp, done = runs.Segmenter(mismatch, 1.0), []
         for i, e in enumerate(events):
-            dp.push(i, e)
+            k = 1
+            while weighted and i + k < len(events) and events[i + k] == e:
+                k += 1
+            if not weighted or not i or events[i - 1] != e:
+                dp.push(i, i + k - 1, k, e)
             done += dp.settled()
         done += dp.finish()
         assert sum(r[2] for r in done) == len(events)
@@ -52,7 +57,10 @@ def brute_runs(data, gap):
     return sorted(out)
 
 
-def test_exact_runs_across_shards(spark):
+@pytest.mark.parametrize("held", [3, 1 << 18])
+@pytest.mark.parametrize("parts", ["1", "4", "23"])
+def test_exact_runs_wherever_tasks_are_cut(spark, monkeypatch, parts, held):
+    monkeypatch.setattr(runs, "HELD", held)
     rng = random.Random(6)
     data, q = [], 0
     for k in range(25):
@@ -62,8 +70,21 @@ def test_exact_runs_across_shards(spark):
     data += [("steady", t, 10_000 + t, "s") for t in range(0, 400, 2)]  # one run over many shards
     data += [(None, 1, 1, "a"), ("k1", None, 2, "a")]
     df = spark.createDataFrame(data, "k string, t bigint, q bigint, v string").withColumn("n_events", F.lit("clash"))
-    got = runs.collapse_runs(df, ["k"], "t", "q", ["v"], max_gap_us=12, shard_us=25)
-    assert sorted((r["k"], r["start_us"], r["end_us"], r["n_events"]) for r in got.collect()) == brute_runs(data, 12)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = runs.collapse_runs(df, ["k"], "t", "q", ["v"], max_gap_us=12).collect()
+        near = runs.collapse_runs(df, ["k"], "t", "q", ["v"], max_gap_us=12, mismatch=1.0, penalty=1.5).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r["k"], r["start_us"], r["end_us"], r["n_events"]) for r in got) == brute_runs(data, 12)
+    by, want = {}, 0.0
+    for k, t, q, v in sorted((x for x in data if x[0] is not None and x[1] is not None), key=lambda x: x[:3]):
+        if k in by and t - by[k][-1][0] > 12:
+            want += best_cost([(e[1],) for e in by.pop(k)], 1.0, 1.5)
+        by.setdefault(k, []).append((t, v))
+    want += sum(best_cost([(e[1],) for e in s], 1.0, 1.5) for s in by.values())
+    assert sum(r["cost"] + 1.5 for r in near) == pytest.approx(want)
 
 
 def test_short_deviation_is_absorbed(spark):

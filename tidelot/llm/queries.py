@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelot.functions.timing import DAY_US, HOUR_US, MINUTE_US, cell_of
+from tidelot.functions.timing import DAY_US, MINUTE_US, cell_of
 from tidelot.llm import distinct, mixing, runs, tokens, truncation
 from tidelot.operators import messages
 from tidelot.session import broadcast_if_small, materialise, table
@@ -49,7 +49,7 @@ def p2_beside_windows(spark: SparkSession, d: str, k: int = 1024) -> DataFrame:
 def sensor_runs(spark: SparkSession, d: str, mismatch: float = 3.0, penalty: float = 1.0) -> DataFrame:
     m = messages.messages(table(spark, d, "parking_events"), ["lot_id", "sensor_id", "slot_id", "event_type", "status", "event_ts"])
     m = m.filter("slot_id is not null and event_type is not null").withColumn("ts", F.unix_micros("event_ts"))
-    return runs.collapse_runs(m, ["lot_id", "sensor_id"], "ts", "kafka_offset", ["slot_id", "event_type", "status"], 20 * MINUTE_US, mismatch, penalty, shard_us=6 * HOUR_US)
+    return runs.collapse_runs(m, ["lot_id", "sensor_id"], "ts", "kafka_offset", ["slot_id", "event_type", "status"], 20 * MINUTE_US, mismatch, penalty)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +63,12 @@ def p7_near_runs(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("duration_us", F.col("end_us") - F.col("start_us"))
 
 
+def p7_near_cost(spark: SparkSession, d: str) -> DataFrame:
+    """Least total cost of each sensor's segmentation, with its runs and events."""
+    r = sensor_runs(spark, d, mismatch=1.0, penalty=1.5).groupBy("lot_id", "sensor_id")
+    return r.agg(F.sum(F.col("cost") + 1.5).alias("total_cost"), F.count(F.lit(1)).alias("n_runs"), F.sum("n_events").alias("n_events"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "text", ["doc_id"])
 
