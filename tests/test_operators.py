@@ -132,6 +132,14 @@ def test_session_batch_touches_only_days_in_reach(spark, tmp_path):
     assert rows_of(t.sessions(), "s", "e", "n") == [(10, 20, 1), (150, 170, 2), (950, 960, 1)]
 
 
+def test_sessions_of_withdrawn_events_are_made_anew(spark, tmp_path):
+    t = sessions.SessionTable(spark, str(tmp_path / "t"), ["k"], 5, part_us=100)
+    spans = lambda *x: spark.createDataFrame(list(x), "k string, s bigint, e bigint, n bigint")
+    t.apply(spans(("a", 10, 20, 3), ("a", 150, 160, 2), ("b", 12, 13, 2)), 0)
+    t.apply(spans(("b", 16, 16, 1)), 1, again=spans(("a", 10, 10, 1), ("a", 20, 20, 1), ("a", 150, 160, 2)))
+    assert rows_of(t.sessions(), "k", "s", "e", "n") == [("a", 10, 10, 1), ("a", 20, 20, 1), ("a", 150, 160, 2), ("b", 12, 16, 3)]
+
+
 def test_sessions_empty(spark, tmp_path):
     t = sessions.SessionTable(spark, str(tmp_path / "t"), ["k"], 5)
     assert t.apply(spark.createDataFrame([], "k string, s bigint, e bigint, n bigint"), 0)
@@ -199,6 +207,67 @@ def test_lateness_and_statistics(spark):
     assert rows_of(lateness.period_statistics(state, ["k", "window_start_us"]), "k", "window_start_us", "n", "n_distinct", "least", "greatest", "median") == sorted(stats)
 
 
+def judged_at_once(data, window, cutoff):
+    """Multisets by definition: rows (entity, ts, arrival, seq, counted, value) in order of arrival."""
+    out = defaultdict(lambda: [0, 0, 0])
+    for k in {x[0] for x in data}:
+        top = None
+        for _, t, _, _, counted, v in sorted((x for x in data if x[0] == k), key=lambda x: (x[2], x[3])):
+            w = t // window * window
+            if counted:
+                out[k, w, v][0 if top is None or top < w + window else 2 if top > w + window + cutoff else 1] += 1
+            top = t if top is None else max(top, t)
+    return [(*key, *n) for key, n in out.items()]
+
+
+LATE = "entity string, ts bigint, arrival bigint, seq bigint, counted boolean, value bigint"
+STATE = ("entity", "window_start_us", "value", "n_on_time", "n_corrected", "n_rejected")
+
+
+def late_rows(seed, n=400):
+    rng = random.Random(seed)
+    return [(f"k{rng.randint(0, 4)}", a - rng.choice([0, 0, 1, 9, 30, 80, -20]), a, i, rng.random() < 0.8, rng.choice([None, 1, 2, 3])) for i in range(n) for a in [rng.randint(0, 600)]]
+
+
+def test_lateness_table_in_any_order_of_batches_equals_one_pass(spark, tmp_path):
+    data = late_rows(3)
+    t = lateness.LatenessTable(spark, str(tmp_path / "t"), 10, 15, shard_us=20, part_us=100)
+    df = lambda rows: spark.createDataFrame(rows, LATE)
+    stored, withdrawn = [], data[5::40]
+    for i in range(4):  # batches overlap in arrival; the third withdraws rows of the first two
+        new = data[i::4]
+        gone = [x for x in withdrawn if x in stored] if i == 2 else []
+        kept = [x for x in stored if x not in gone]
+        assert t.apply(df(new), i, df(gone) if gone else None, lambda since, kept=kept: df([x for x in kept if x[2] >= since]))
+        assert not t.apply(df(new), i)
+        stored = kept + new
+        assert sorted((tuple(r[c] for c in STATE) for r in t.state().collect()), key=repr) == sorted(judged_at_once(stored, 10, 15), key=repr)
+
+
+def test_a_late_batch_replaces_only_the_days_it_corrects(spark, tmp_path):
+    t = lateness.LatenessTable(spark, str(tmp_path / "t"), 10, 1000, shard_us=50, part_us=100)
+    df = lambda *rows: spark.createDataFrame(list(rows), LATE)
+    t.apply(df(("a", 5, 5, 1, True, 1), ("a", 150, 150, 2, True, 1), ("a", 255, 255, 3, True, 1)), 0)
+    before = t.table.state()["parts"]
+    t.apply(df(("a", 151, 300, 4, True, 7)), 1, kept=lambda since: df(("a", 255, 255, 3, True, 1)).filter(F.col("arrival") >= since))
+    after = t.table.state()["parts"]
+    assert {p for p in before if p.startswith("counts") and before[p]["path"] != after[p]["path"]} == {"counts:1"}
+    assert rows_of(t.state().filter("n_corrected > 0"), "window_start_us", "value") == [(150, 7)]
+    assert t.apply(df(), 2) and t.state().count() == 4
+
+
+def test_rows_without_a_partition_are_refused_and_young_folders_stay(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), "a int")
+    with pytest.raises(Exception, match="no partition"):
+        t.write(spark.createDataFrame([(1,), (None,)], "a int"), F.col("a"))
+    other = t.write(spark.createDataFrame([(1,)], "a int"))[""]  # what another writer is about to publish
+    t.vacuum(t.state())
+    assert spark.read.parquet(other).count() == 1
+    t.vacuum(t.state(), age_s=-1)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(other)
+
+
 # --- redelivery -----------------------------------------------------------------------------------
 
 
@@ -245,10 +314,12 @@ def test_message_store_rewrites_only_what_changes(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "event_id string, t bigint, kafka_partition int, kafka_offset bigint").withColumn("ingest_ts", F.timestamp_micros("t"))
     store.apply(rows(("1", 10, 0, 1)), 0)
     store.apply(rows(("2", 20, 0, 2)), 1)
-    before = store.data.state()["parts"]
+    before = store.table.state()["parts"]
     store.apply(rows(("0x1", 5, 0, 3), ("2", 30, 0, 4)), 2)
-    after = store.data.state()["parts"]
-    assert before["0"]["path"] != after["0"]["path"] and before["1"]["path"] == after["1"]["path"]
+    after = store.table.state()["parts"]
+    assert before["messages:0"]["path"] != after["messages:0"]["path"] and before["messages:1"]["path"] == after["messages:1"]["path"]
+    assert rows_of(store.added(2), "kafka_offset") == [(3,)] and rows_of(store.removed(2), "kafka_offset") == [(1,)]
+    assert rows_of(store.kept(2, 0), "kafka_offset") == [(2,)] and store.kept(2, 21).count() == 0
     assert rows_of(store.messages(), "kafka_offset") == [(2,), (3,)]
     assert rows_of(store.surplus(), "kafka_offset") == [(1,), (4,)]
 
@@ -259,7 +330,7 @@ def test_message_store_survives_a_batch_that_died(spark, tmp_path, monkeypatch):
     store.apply(rows(("1", 10, 0, 1)), 0)
     batch = rows(("2", 20, 0, 2), ("1", 5, 0, 3), ("2", 30, 0, 4))
     with monkeypatch.context() as m:
-        m.setattr(store.data, "commit", lambda *a, **k: 1 / 0)
+        m.setattr(store.table, "commit", lambda *a, **k: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             store.apply(batch, 1)
     assert rows_of(store.messages(), "kafka_offset") == [(1,)]

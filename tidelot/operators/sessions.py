@@ -53,23 +53,28 @@ class SessionTable:
         schema = ", ".join([*(f"`{k}` string" for k in keys), "s bigint", "e bigint", "n bigint"])
         self.table = VersionedTable(spark, root, schema)
 
-    def apply(self, spans: DataFrame, batch: int) -> bool:
-        """Fold local spans (`keys`, `s`, `e`, `n`) in; False if that batch was committed before."""
+    def apply(self, spans: DataFrame, batch: int, again: DataFrame | None = None) -> bool:
+        """Fold local spans (`keys`, `s`, `e`, `n`) in; False if that batch was committed before.
+
+        `again` holds all spans of keys of which events were withdrawn: their stored sessions are dropped
+        and made from these, and `spans` must not hold those keys.
+        """
         state = self.table.state()
         if state["last_batch"] is not None and batch <= state["last_batch"]:
             return False
-        local = join_spans(spans, self.keys, self.gap_us)
+        local = join_spans(spans if again is None else spans.unionByName(again), self.keys, self.gap_us)
         # One row per day bounds what the driver sees by the batch's time span.
         day = cell_of("s", self.part_us)
-        reach = spans.groupBy(day.alias("d")).agg(F.min("s").alias("lo"), F.max("e").alias("hi")).collect()
+        reach = local.groupBy(day.alias("d")).agg(F.min("s").alias("lo"), F.max("e").alias("hi")).collect()
         near = lambda p: any(p["lo"] <= r["hi"] + self.gap_us and r["lo"] - self.gap_us <= p["hi"] for r in reach)
         days = {str(r["d"]) for r in reach}
-        touched = [name for name, p in state["parts"].items() if name in days or near(p["stats"])]
+        touched = [name for name, p in state["parts"].items() if again is not None or name in days or near(p["stats"])]
         stored = self.table.read(touched, state)
+        if again is not None:
+            stored = stored.join(again.select(*self.keys).distinct(), self.keys, "left_anti")
         merged = join_spans(stored.unionByName(local.select(*stored.columns)), self.keys, self.gap_us)
-        merged = merged.withColumn("_day", day)
         # A merged session starts in a day of the batch or where a touched session started: no other day is written.
-        folders = self.table.write(merged, by="_day")
+        folders = self.table.write(merged, day)
         put = {}
         if folders:
             base = next(iter(folders.values())).rpartition("/")[0]

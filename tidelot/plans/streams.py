@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,21 +28,33 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return kind(periods, "period").unionByName(kind(gaps, "gap"))
 
 
-def session_table(spark: SparkSession, d: str, gap_us: int = 60 * MINUTE_US) -> sessions.SessionTable:
-    """Bouts of use per lot and slot, folded into a session table batch by batch."""
+def message_batches(spark: SparkSession, d: str, payload: dict[str, str]) -> Iterator[tuple[redelivery.MessageStore, int]]:
+    """Deliveries folded batch by batch into a message store, which is given after each batch with the batch's number."""
     events = table(spark, d, "parking_events")
-    lo, hi = events.agg(F.min("batch_no"), F.max("batch_no")).first()
-    m = messages.messages(events, ["lot_id", "slot_id", "event_type", "status", "event_ts", "batch_no"])
-    m = m.filter("event_type = 'OCCUPANCY' and status in ('OCCUPIED', 'FREE')")
-    step = F.lit(max(1, -(-((hi or 0) - (lo or 0) + 1) // INCREMENTS)))
-    m = m.withColumns({"ts": F.unix_micros("event_ts"), "step": F.coalesce(F.expr("batch_no") - F.lit(lo or 0), F.lit(0)).cast("bigint")})
-    m = m.withColumn("step", F.floor(F.col("step") / step).cast("int"))
+    words = {c: messages.canonical_word(c) for c in ("event_type", "status") if c in payload}
+    store = redelivery.new_store(spark, payload)
+    for i, rows in enumerate(redelivery.ranges_of(events, "batch_no", INCREMENTS)):
+        store.apply(rows.withColumns(words), i)
+        yield store, i
+
+
+def session_table(spark: SparkSession, d: str, gap_us: int = 60 * MINUTE_US) -> sessions.SessionTable:
+    """Bouts of use per lot and slot: each batch of deliveries brings messages, whose local sessions are folded into the table."""
     keys = ["lot_id", "slot_id"]
     out = sessions.SessionTable(spark, scratch_dir(spark, "session-table"), keys, gap_us)
-    with Staging(spark, "session-cells") as staging:
-        cells = staging.write(sessions.session_cells(m, keys, "ts", gap_us, also=["step"]), "cells")
-        for i in range(INCREMENTS):
-            out.apply(cells.filter(F.col("step") == i).drop("step"), i)
+
+    def spans(m: DataFrame) -> DataFrame:
+        m = m.filter("event_type = 'OCCUPANCY' and status in ('OCCUPIED', 'FREE')").withColumn("ts", F.unix_micros("event_ts"))
+        return sessions.session_cells(m, keys, "ts", gap_us)
+
+    for store, i in message_batches(spark, d, {"lot_id": "string", "slot_id": "string", "event_type": "string", "status": "string", "event_ts": "timestamp"}):
+        if store.moved(i):  # an earlier delivery took a message's place: the slots of both are made anew
+            with Staging(spark, "withdrawn") as staging:
+                slots = staging.write(store.removed(i).select(*keys).union(store.added(i).select(*keys)).na.drop().distinct(), "slots")
+                again = staging.write(spans(store.messages().join(slots, keys, "left_semi")), "again")
+                out.apply(spans(store.added(i).join(slots, keys, "left_anti")), i, again)
+        else:
+            out.apply(spans(store.added(i)), i)
     return out
 
 
@@ -90,12 +104,17 @@ WINDOW_US, CUTOFF_US = 5 * MINUTE_US, 180 * SECOND_US
 
 
 def lateness_state(spark: SparkSession, d: str) -> DataFrame:
-    """Multisets of arrival delay (whole seconds) per lot and five-minute window, of OCCUPANCY messages."""
-    m = messages.messages(table(spark, d, "parking_events"), ["lot_id", "event_type", "event_ts"])
-    m = m.select("lot_id", "kafka_offset", F.unix_micros("ingest_ts").alias("arrival"), F.unix_micros("event_ts").alias("ts"), (F.col("event_type") == "OCCUPANCY").alias("occ"))
-    heard = lateness.heard_before(m, "lot_id", "ts", "arrival", "kafka_offset")
-    judged = lateness.classify(heard.filter("occ"), "ts", WINDOW_US, CUTOFF_US)
-    return lateness.multiset(judged, ["lot_id", "window_start_us"], F.floor((F.col("arrival") - F.col("ts")) / SECOND_US))
+    """Multisets of arrival delay (whole seconds) per lot and five-minute window, of OCCUPANCY messages, as batch after batch of deliveries leaves them."""
+    out = lateness.LatenessTable(spark, scratch_dir(spark, "lateness-table"), WINDOW_US, CUTOFF_US)
+
+    def rows(m: DataFrame) -> DataFrame:
+        arrival, ts = F.unix_micros("ingest_ts"), F.unix_micros("event_ts")
+        counted = F.coalesce(F.col("event_type") == "OCCUPANCY", F.lit(False))
+        return m.select(F.col("lot_id").alias("entity"), ts.alias("ts"), arrival.alias("arrival"), F.col("kafka_offset").alias("seq"), counted.alias("counted"), F.floor((arrival - ts) / SECOND_US).alias("value"))
+
+    for store, i in message_batches(spark, d, {"lot_id": "string", "event_type": "string", "event_ts": "timestamp"}):
+        out.apply(rows(store.added(i)), i, rows(store.removed(i)) if store.moved(i) else None, lambda since, store=store, i=i: rows(store.kept(i, since)))
+    return out.state().withColumnRenamed("entity", "lot_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

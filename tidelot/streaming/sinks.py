@@ -30,10 +30,10 @@ class UpsertTable:
         if state["last_batch"] is not None and batch_id <= state["last_batch"]:
             return False
         rows = batch.select(*self.table.schema.fieldNames())
-        days = [str(r["_day"]) for r in rows.select(self.day.alias("_day")).distinct().collect() if r["_day"] is not None]  # bounded by the batch's time span
+        days = [str(r["_day"]) for r in rows.select(self.day.alias("_day")).distinct().collect()]  # bounded by the batch's time span; `write` refuses rows without a day
         best: list[Column] = [F.col(c) for c in self.order]
         merged = upserts.merge(self.table.read(days, state), rows, self.keys, best, F.col(self.final) if self.final else None)
-        folders = self.table.write(merged.withColumn("_day", self.day), by="_day")
+        folders = self.table.write(merged, self.day)
         self.table.vacuum(self.table.commit(state, {d: {"path": p, "stats": {}} for d, p in folders.items()}, batch=batch_id))
         return True
 
