@@ -28,6 +28,16 @@ def half_even(c: str | Column, digits: int) -> Column:
     return F.bround(_col(c), digits)
 
 
+def rounded_ratio(part: Column, whole: Column, digits: int) -> Column:
+    """`part / whole` of whole numbers, not negative, rounded to `digits` by whole-number arithmetic, halves to even: exact, and the same in every engine."""
+    scaled = part * 10**digits
+    q = F.floor(scaled / whole).cast("bigint")
+    q = q - F.when(q * whole > scaled, 1).when((q + 1) * whole <= scaled, -1).otherwise(0)  # the quotient of doubles may be off by one
+    twice = 2 * (scaled - q * whole)
+    up = (twice > whole) | ((twice == whole) & (F.pmod(q, F.lit(2)) == 1))
+    return (q + up.cast("int")) / 10**digits
+
+
 def nan_to_null(c: str | Column) -> Column:
     return F.when(~F.isnan(_col(c)), _col(c))
 
@@ -51,3 +61,13 @@ def rate_text(per_second: str | Column) -> Column:
 
 def percent_text(percent: str | Column, digits: int = 0) -> Column:
     return F.when(_col(percent).isNotNull(), F.format_string(f"%.{digits}f%%", _col(percent).cast("double")))
+
+
+def iso_seconds(micros: str | Column) -> Column:
+    """'2016-02-01T03:55:00+00:00', as instants are written in keys; the session's zone must be UTC."""
+    return F.date_format(F.timestamp_micros(_col(micros)), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def window_key(lot: str | Column, start_us: str | Column) -> Column:
+    """Key of a window in keyed logs: lot and start."""
+    return F.concat_ws("|", _col(lot), iso_seconds(start_us))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 from tidelot.functions.timing import MINUTE_US
 from tidelot.operators import occupancy as o
 from tidelot.operators import validation
-from tidelot.session import table
+from tidelot.session import listing, table
 
 P = o.Params()
+#: Standard error of the sketch of 2^10 registers.
+HLL_ERROR = 1.04 / 32
 
 
-@cache
-def _judged(spark: SparkSession, d: str) -> o.Judged:
+@lru_cache(4)
+def _judged(spark: SparkSession, d: str, files: tuple) -> o.Judged:
     return o.judge(table(spark, d, "parking_events"), P)
 
 
 def judged(spark: SparkSession, d: str) -> o.Judged:
-    """The judged stream of a folder; its tables are written once per session and shared by the queries."""
-    return _judged(spark, d)
+    """The judged stream of a folder; its tables are written when first asked for and shared by a session's queries while the files stay as they are."""
+    return _judged(spark, d, listing(spark, f"{d}/parking_events.parquet"))
 
 
 def window_tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +55,7 @@ def regression_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slot_transitions(spark: SparkSession, d: str) -> DataFrame:
-    x = judged(spark, d).changes.filter("delta != 0 or entry + exit > 0")
+    x = judged(spark, d).reports.filter("delta <> 0 or entry + exit > 0")
     return x.select("lot_id", "slot_id", "seq", "ts", "was", "status", F.col("delta").cast("bigint").alias("delta"), F.col("entry").cast("bigint").alias("entry"), F.col("exit").cast("bigint").alias("exit"))
 
 
@@ -82,15 +84,20 @@ def window_unique_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window_unique_hll(spark: SparkSession, d: str) -> DataFrame:
-    return o.vehicles(judged(spark, d))
+    """The sketch's estimate beside the exact number: within five standard errors."""
+    j = judged(spark, d)
+    both = o.vehicles(j, exact=True).withColumnRenamed("vehicles", "exact_vehicles").join(o.vehicles(j), ["lot_id", "window_start"])
+    within = F.abs(F.col("vehicles") - F.col("exact_vehicles")) <= 5 * HLL_ERROR * F.col("exact_vehicles") + 0.5
+    return both.select("lot_id", "window_start", "exact_vehicles", within.alias("within"))
 
 
 def hll_error_report(spark: SparkSession, d: str) -> DataFrame:
-    """Mean and greatest relative error of the HLL estimate by magnitude of the exact count."""
+    """Windows by magnitude of their exact count, and whether the estimate's mean error there is within two standard errors."""
     j = judged(spark, d)
     both = o.vehicles(j, exact=True).withColumnRenamed("vehicles", "exact").join(o.vehicles(j), ["lot_id", "window_start"])
     err = F.abs(F.col("vehicles") - F.col("exact")) / F.col("exact")
-    return both.groupBy(F.floor(F.log10("exact")).alias("magnitude")).agg(F.count(F.lit(1)).alias("n"), F.avg(err).alias("mean_error"), F.max(err).alias("max_error"))
+    x = both.groupBy(F.floor(F.log10("exact")).alias("magnitude"))
+    return x.agg(F.count(F.lit(1)).alias("n"), (F.avg(err) <= 2 * HLL_ERROR).alias("mean_error_fits"))
 
 
 def window_results(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +110,14 @@ def window_results_closed(spark: SparkSession, d: str) -> DataFrame:
     return x.select("lot_id", "window_start", "capacity", "avg_occupied", "avg_occupancy_pct", "min_occupied", "max_occupied", "entries", "exits", "latest_arrival_us")
 
 
+def window_results_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The whole result with the estimate judged: within five standard errors of the exact number of tokens, and half a token for its rounding."""
+    exact = o.vehicles(judged(spark, d), exact=True).withColumnRenamed("vehicles", "exact_vehicles")
+    x = window_results(spark, d).join(exact, ["lot_id", "window_start"], "left").fillna(0, ["exact_vehicles"])
+    within = F.abs(F.col("unique_vehicles_est") - F.col("exact_vehicles")) <= 5 * HLL_ERROR * F.col("exact_vehicles") + 0.5
+    return x.withColumn("estimate_within", within).drop("unique_vehicles_est")
+
+
 def sensor_offline(spark: SparkSession, d: str) -> DataFrame:
     p = o.Params(offline_after=20 * MINUTE_US)  # the sensors of these tables report every few minutes
     return o.sensor_silences(judged(spark, d).accepted, p)
@@ -150,6 +165,18 @@ nexts as (select *, lead(cursor) over (partition by lot_id order by seq) as nxt
 seen as (select lot_id, occupied, unnest(range(cursor - cursor % 300000000, nxt, 300000000)) as window_start from nexts where nxt > cursor
   union all select lot_id, occupied, ts - ts % 300000000 from nexts where delta <> 0 and ts >= cursor),
 extremes as (select lot_id, window_start, cast(min(occupied) as bigint) as min_occupied, cast(max(occupied) as bigint) as max_occupied from seen group by all)"""
+RESULTS_SQL = f"""{TIMELINE_SQL}, {EXTREMES_SQL},
+flows as (select lot_id, window_start, cast(sum(entry) as bigint) as entries, cast(sum(exit) as bigint) as exits from changes group by all),
+fresh as (select lot_id, window_start, max(arrival) as latest_arrival_us, count(distinct token) filter (where st = 'OCCUPIED') as vehicles from reports group by all),
+tops as (select lot_id, max(ts) as top from judged where not late group by all),
+slots as (select lot_id, count(distinct slot_id) as n, cast(sum(delta) as bigint) as occupied from changes group by all),
+x as (select w.*, cast(greatest(m.capacity, s.n, 1) as int) as capacity, coalesce(min_occupied, occupied) as min_occupied, coalesce(max_occupied, occupied) as max_occupied,
+    coalesce(entries, 0) as entries, coalesce(exits, 0) as exits, latest_arrival_us, vehicles, coalesce(occupied, 0) as occupied, window_start + 420000000 < top - 60000000 as closed
+  from weighted w left join extremes using (lot_id, window_start) left join flows using (lot_id, window_start) left join fresh using (lot_id, window_start)
+    join tops using (lot_id) left join slots s using (lot_id) left join lot_metadata m using (lot_id)),
+y as (select *, area_us * 1000 // covered_us as q, 2 * (area_us * 1000 % covered_us) as t, area_us * 10000 // (covered_us * capacity) as q2, 2 * (area_us * 10000 % (covered_us * capacity)) as t2 from x),
+r as (select *, (q + case when t > covered_us or (t = covered_us and q % 2 = 1) then 1 else 0 end) / 1000 as avg_occupied,
+    (q2 + case when t2 > covered_us * capacity or (t2 = covered_us * capacity and q2 % 2 = 1) then 1 else 0 end) / 100 as avg_occupancy_pct from y)"""
 
 ORACLES = {
     "window_tumbling_counts": f"""with {VALID_SQL} select lot_id, ts - ts % 300000000 as window_start, count(*) as n, count_if(kind = 'OCCUPANCY') as n_occupancy,
@@ -166,16 +193,12 @@ ORACLES = {
     "window_entries_exits": f"""with {JUDGED_SQL} select lot_id, window_start, cast(sum(entry) as bigint) as entries, cast(sum(exit) as bigint) as exits from changes
   group by all having sum(entry) > 0 or sum(exit) > 0""",
     "window_unique_exact": f"with {JUDGED_SQL} select lot_id, window_start, count(distinct token) as vehicles from reports where st = 'OCCUPIED' and token is not null group by all",
-    "window_results_closed": f"""with {TIMELINE_SQL}, {EXTREMES_SQL},
-flows as (select lot_id, window_start, cast(sum(entry) as bigint) as entries, cast(sum(exit) as bigint) as exits from changes group by all),
-fresh as (select lot_id, window_start, max(arrival) as latest_arrival_us from reports group by all),
-tops as (select lot_id, max(ts) as top from judged group by all),
-slots as (select lot_id, count(distinct slot_id) as n from changes group by all),
-r as (select w.*, greatest(m.capacity, s.n, 1) as capacity, w.area_us / w.covered_us as avg_occupied, min_occupied, max_occupied,
-    coalesce(entries, 0) as entries, coalesce(exits, 0) as exits, latest_arrival_us
-  from weighted w left join extremes using (lot_id, window_start) left join flows using (lot_id, window_start) left join fresh using (lot_id, window_start)
-    join tops using (lot_id) left join slots s using (lot_id) left join lot_metadata m using (lot_id) where window_start + 420000000 < top - 60000000)
-select lot_id, window_start, capacity, avg_occupied, 100 * avg_occupied / capacity as avg_occupancy_pct, min_occupied, max_occupied, entries, exits, latest_arrival_us from r""",
+    "window_unique_hll": f"with {JUDGED_SQL} select lot_id, window_start, count(distinct token) as exact_vehicles, true as within from reports where st = 'OCCUPIED' and token is not null group by all",
+    "hll_error_report": f"""with {JUDGED_SQL}, e as (select count(distinct token) as n from reports where st = 'OCCUPIED' and token is not null group by lot_id, window_start)
+select cast(floor(log10(n)) as bigint) as magnitude, count(*) as n, true as mean_error_fits from e group by all""",
+    "window_results_closed": f"""with {RESULTS_SQL} select lot_id, window_start, capacity, avg_occupied, avg_occupancy_pct, min_occupied, max_occupied, entries, exits, latest_arrival_us from r where closed""",
+    "window_results_checked": f"""with {RESULTS_SQL} select lot_id, window_start, window_start + 300000000 as window_end, capacity, avg_occupied, avg_occupancy_pct, min_occupied, max_occupied, entries, exits,
+  closed, case when not closed then occupied end as current_occupied, latest_arrival_us, lot_id || '|' || strftime(make_timestamp(window_start), '%Y-%m-%dT%H:%M:%S+00:00') as window_key, coalesce(vehicles, 0) as exact_vehicles, true as estimate_within from r""",
     "sensor_offline": f"""with {JUDGED_SQL},
 s as (select distinct lot_id, sensor_id, ts from judged where not late),
 n as (select *, lead(ts) over (partition by lot_id, sensor_id order by ts) as back_at, max(ts) over (partition by lot_id) as ended from s)
@@ -186,6 +209,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         window_tumbling_counts, event_consistency, dedupe_first, watermark_trace, late_side_output, regression_guard, slot_transitions, window_time_weighted, window_gap_fill,
-        window_min_max, window_entries_exits, window_unique_exact, window_unique_hll, hll_error_report, window_results, window_results_closed, sensor_offline,
+        window_min_max, window_entries_exits, window_unique_exact, window_unique_hll, hll_error_report, window_results, window_results_closed, window_results_checked, sensor_offline,
     )
 }

@@ -75,6 +75,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def listing(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: what tells whether it changed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a plan once to scratch storage and read it back: cuts lineage, survives lost executors, serves several readers."""
     path = scratch_dir(df.sparkSession, name)
