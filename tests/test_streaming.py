@@ -1,7 +1,6 @@
-"""The keyed processor: golden timeline, restart, and agreement with the set-based plan."""
+"""The batch-wise processor: golden timeline, restart, and agreement with the set-based plan."""
 
 from dataclasses import replace
-from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,15 +23,19 @@ GOLDEN = [
 ]
 
 
-def events():
-    for seq, sec, slot, status, token, eid in GOLDEN:
-        yield SimpleNamespace(event_id=eid, event_type="OCCUPANCY" if status else "HEARTBEAT", slot_id=slot, sensor_id="S-" + slot, status=status, vehicle_token=token, ts=T + sec * S, arrival=T + seq * S, seq=seq)
+COLUMNS = "event_id string, event_type string, sensor_id string, lot_id string, slot_id string, status string, vehicle_token string, t bigint, a bigint, kafka_partition int, kafka_offset bigint"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, COLUMNS).select("*", F.timestamp_micros("t").alias("event_ts"), F.timestamp_micros("a").alias("ingest_ts")).drop("t", "a")
 
 
 def table(spark):
-    rows = [(f"0000{seq:04x}" if eid == f"a{seq}" else "00000005", e.event_type, e.sensor_id, "LOT-01", e.slot_id, e.status, e.vehicle_token, e.ts, e.arrival, 0, seq) for (seq, *_, eid), e in zip(GOLDEN, events(), strict=True)]
-    df = spark.createDataFrame(rows, "event_id string, event_type string, sensor_id string, lot_id string, slot_id string, status string, vehicle_token string, t bigint, a bigint, kafka_partition int, kafka_offset bigint")
-    return df.select("*", F.timestamp_micros("t").alias("event_ts"), F.timestamp_micros("a").alias("ingest_ts")).drop("t", "a")
+    return frame(spark, [(f"0000{int(eid[1:]):04x}", "OCCUPANCY" if status else "HEARTBEAT", "S-" + slot, "LOT-01", slot, status, token, T + sec * S, T + seq * S, 0, seq) for seq, sec, slot, status, token, eid in GOLDEN])
+
+
+def beat(spark, *rows):
+    return frame(spark, [(f"{seq:04x}", "HEARTBEAT", sensor, "L", sensor, None, None, T + sec * S, T, 0, seq) for sensor, sec, seq in rows])
 
 
 EXPECTED = {0: (350, 0, 2, 3, 1), 300: (800, None, None, 1, 0), 600: (900, 3, 3, 0, 0)}
@@ -45,15 +48,44 @@ def check(start, area, low, high, entries, exits):
         assert (low, high) == want[1:3]
 
 
-def test_golden_timeline_event_by_event():
-    lot = pr.Lot(P)
-    out = [r for e in events() for r in lot.feed(e)]
-    closed = [r for r in out if r["kind"] == "window"]
-    assert [(r["window_start"] - T) // S for r in closed] == [0, 300, 600]
+@pytest.mark.parametrize("cuts", [[], [6, 12], [1, 5, 9, 10]])
+def test_golden_timeline_in_batches(spark, tmp_path, cuts):
+    t, rows = pr.OccupancyTable(spark, str(tmp_path / "t"), P), table(spark)
+    closed, late = [], []
+    for i, (a, z) in enumerate(zip([0, *cuts], [*cuts, 99], strict=True)):
+        assert t.apply(rows.filter((F.col("kafka_offset") > a) & (F.col("kafka_offset") <= z)), i)
+        closed += t.output("results", i).filter("closed").collect()
+        late += t.output("late", i).collect()
+    assert [(r["window_start"] - T) // S for r in sorted(closed)] == [0, 300, 600]
     for r in closed:
         check(r["window_start"], r["area_us"], r["min_occupied"], r["max_occupied"], r["entries"], r["exits"])
-    assert round(closed[0]["vehicles"]) == 3 and round(closed[1]["vehicles"]) == 1
-    assert [r["seq"] for r in out if r["kind"] == "late"] == [13]
+    assert [r["seq"] for r in late] == [13]
+    assert not t.apply(rows, 0)
+
+
+def test_random_batches_equal_the_set(spark, tmp_path):
+    import random
+
+    rng, rows, clock = random.Random(8), [], {"L1": 0, "L2": 0}
+    for seq in range(260):
+        lot = rng.choice(["L1", "L1", "L2"])
+        clock[lot] += rng.choice([0, 5, 20, 60, 200])
+        sec = clock[lot] - rng.choice([0, 0, 0, 30, 150, 400, 1200])
+        kind = rng.choice(["OCCUPANCY"] * 3 + ["HEARTBEAT"])
+        status = rng.choice(["OCCUPIED", "FREE"]) if kind == "OCCUPANCY" else None
+        slot = f"s{rng.randint(0, 4)}"
+        rows.append((f"{rng.choice([seq, seq, seq, max(0, seq - 2)]):04x}", kind, "S" + slot, lot, slot, status, f"{rng.randint(1, 30):x}" if status == "OCCUPIED" else None, T + sec * S, T + seq * S, 0, seq))
+    everything = frame(spark, rows)
+    t = pr.OccupancyTable(spark, str(tmp_path / "t"), P)
+    got = {}
+    for i, (a, z) in enumerate([(0, 90), (90, 91), (91, 200), (200, 300)]):
+        t.apply(everything.filter((F.col("kafka_offset") >= a) & (F.col("kafka_offset") < z)), i)
+        got |= {(r["lot_id"], r["window_start"]): r for r in t.results(i).collect()}
+    want = {(r["lot_id"], r["window_start"]): r for r in o.window_results(o.judge(everything)).collect()}
+    same = ("avg_occupied", "min_occupied", "max_occupied", "entries", "exits", "unique_vehicles_est", "closed", "latest_arrival_us")
+    assert len(want) > 20 and set(want) <= set(got)
+    for key, w in want.items():
+        assert [got[key][c] for c in same] == [w[c] for c in same], key
 
 
 def test_golden_timeline_as_a_set(spark):
@@ -72,31 +104,39 @@ def test_parameters():
         o.Params(raise_at=0.8, clear_at=0.9)
 
 
-def test_silence_is_signalled_once_and_ends():
-    lot = pr.Lot(replace(P, offline_after=90 * S))
-    beat = lambda slot, sec, n: SimpleNamespace(event_id=str(n), event_type="HEARTBEAT", slot_id=slot, sensor_id=slot, status=None, vehicle_token=None, ts=T + sec * S, arrival=T, seq=n)
-    for e in (beat("1", 0, 1), beat("2", 0, 2), beat("2", 100, 3)):
-        list(lot.feed(e))
-    assert [(r["kind"], r["sensor_id"]) for r in lot.signals()] == [("silent", "1")]
-    assert not list(lot.signals())
-    list(lot.feed(beat("1", 110, 4)))
-    assert [(r["kind"], r["sensor_id"]) for r in lot.signals()] == [("back", "1")]
+def test_silence_is_signalled_once_and_ends(spark, tmp_path):
+    t = pr.OccupancyTable(spark, str(tmp_path / "t"), replace(P, offline_after=90 * S))
+    signals = lambda i: [(r["sensor_id"], r["silent"]) for r in t.output("signals", i).collect()]
+    t.apply(beat(spark, ("1", 0, 1), ("2", 0, 2), ("2", 100, 3)), 0)
+    assert signals(0) == [("1", True)]
+    t.apply(beat(spark, ("2", 105, 4)), 1)
+    assert not signals(1)
+    t.apply(beat(spark, ("1", 110, 5)), 2)
+    assert signals(2) == [("1", False)]
 
 
-def test_duplicate_is_forgotten_after_its_time():
-    lot = pr.Lot(P)
-    report = lambda sec, n, i: SimpleNamespace(event_id=i, event_type="OCCUPANCY", slot_id="x", sensor_id="x", status="FREE", vehicle_token=None, ts=T + sec * S, arrival=T, seq=n)
-    list(lot.feed(report(0, 1, "i")))
-    list(lot.feed(report(301, 2, "j")))
-    assert "i" not in lot.seen and "j" in lot.seen
+def test_identifiers_are_forgotten_after_their_time(spark, tmp_path):
+    t = pr.OccupancyTable(spark, str(tmp_path / "t"), P)
+    report = lambda sec, seq, i: frame(spark, [(i, "OCCUPANCY", "x", "L", "x", "FREE", None, T + sec * S, T, 0, seq)])
+    t.apply(report(0, 1, "01"), 0)
+    t.apply(report(301, 2, "02"), 1)
+    assert [r["ts"] for r in t.table.read(kind="ids").collect()] == [T + 301 * S]
+
+
+def test_restored_slots_count(spark, tmp_path):
+    t = pr.OccupancyTable(spark, str(tmp_path / "t"), P)
+    t.restore(spark.createDataFrame([("L", T, T, 1)], pr.STATE["lots"]), spark.createDataFrame([("L", "x", T, "OCCUPIED")], pr.STATE["slots"]))
+    t.apply(frame(spark, [("01", "OCCUPANCY", "x", "L", "x", "FREE", None, T + 100 * S, T, 0, 1)]), 0)
+    assert [(r["area_us"], r["exits"], r["occupied"]) for r in t.output("results", 0).collect()] == [(100 * S, 1, 0)]
+    with pytest.raises(ValueError):
+        t.restore(spark.createDataFrame([], pr.STATE["lots"]), spark.createDataFrame([], pr.STATE["slots"]))
 
 
-def test_estimate_error():
-    for n in (50, 500, 5000):
-        r = pr.Registers()
-        for i in range(n):
-            r.add(f"token-{i}")
-        assert abs(r.estimate() - n) / n < 0.0975
+def test_empty_batch_keeps_the_state(spark, tmp_path):
+    t = pr.OccupancyTable(spark, str(tmp_path / "t"), P)
+    t.apply(table(spark), 0)
+    before = t.table.read(kind="slots").count()
+    assert t.apply(table(spark).limit(0), 1) and t.table.read(kind="slots").count() == before and t.output("results", 1).count() == 0
 
 
 def test_stream_restarts_and_agrees_with_the_set(spark, tmp_path):
@@ -106,8 +146,9 @@ def test_stream_restarts_and_agrees_with_the_set(spark, tmp_path):
     windows = sinks.window_table(spark, str(tmp_path / "windows"))
     for part in parts:  # each run starts from the checkpoint of the run before
         part.coalesce(1).write.mode("append").parquet(src)
-        stream = pr.occupancy_stream(spark.readStream.schema(all_rows.schema).parquet(src), P)
-        q = stream.writeStream.foreachBatch(sinks.split_outputs(windows, side)).option("checkpointLocation", ck).outputMode("update").trigger(availableNow=True).start()
+        stream = spark.readStream.schema(all_rows.schema).parquet(src)
+        state = pr.OccupancyTable(spark, str(tmp_path / "state"), P)
+        q = stream.writeStream.foreachBatch(pr.fold_occupancy(state, sinks.split_outputs(windows, side))).option("checkpointLocation", ck).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert q.exception() is None
     got = windows.read().filter("closed").collect()
@@ -119,7 +160,7 @@ def test_stream_restarts_and_agrees_with_the_set(spark, tmp_path):
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     w = sinks.window_table(spark, str(tmp_path / "w"))
-    row = lambda area, closed: ("L", T, area, 300, 0, 1, 0, 0, 0.0, closed, None, None)
+    row = lambda area, closed: ("L", T, area, 300, 0, 1, 0, 0, None, closed, None)
     df = lambda *rows: spark.createDataFrame(list(rows), sinks.WINDOW_SCHEMA)
     assert w.apply(df(row(1, False)), 0) and w.apply(df(row(2, True)), 1)
     assert not w.apply(df(row(9, True)), 1)

@@ -12,6 +12,7 @@ from tidelot.operators import upserts
 from tidelot.operators.redelivery import MessageStore
 from tidelot.operators.sessions import SessionTable, session_cells
 from tidelot.operators.store import VersionedTable
+from tidelot.streaming.processor import OccupancyTable
 
 
 class UpsertTable:
@@ -41,25 +42,21 @@ class UpsertTable:
         return self.table.read()
 
 
-WINDOW_SCHEMA = "lot_id string, window_start bigint, area_us bigint, covered_us bigint, min_occupied bigint, max_occupied bigint, entries bigint, exits bigint, vehicles double, closed boolean, occupied bigint, latest_arrival_us bigint"
+WINDOW_SCHEMA = "lot_id string, window_start bigint, area_us bigint, covered_us bigint, min_occupied bigint, max_occupied bigint, entries bigint, exits bigint, occupied bigint, closed boolean, latest_arrival_us bigint"
 
 
 def window_table(spark: SparkSession, root: str) -> UpsertTable:
-    """Windows of `occupancy_stream`: within a batch the widest coverage is the newest; closed is final."""
+    """Windows of an `OccupancyTable`: within a batch the widest coverage is the newest; closed is final."""
     return UpsertTable(spark, root, WINDOW_SCHEMA, ["lot_id", "window_start"], "window_start", ["covered_us", "area_us"], "closed")
 
 
-def split_outputs(windows: UpsertTable, side: str) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` function: windows are upserted, other kinds are appended under `side`/<kind>/batch=<id>, each batch once."""
+def split_outputs(windows: UpsertTable, side: str) -> Callable[[OccupancyTable, int], None]:
+    """What follows a fold: windows are upserted, late rows and signals appended under `side`/<kind>/batch=<id>, each batch once."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            for kind in ("late", "silent", "back"):
-                batch.filter(F.col("kind") == kind).drop("kind").write.mode("overwrite").parquet(f"{side}/{kind}/batch={batch_id}")
-            windows.apply(batch.filter("kind = 'window'"), batch_id)
-        finally:
-            batch.unpersist()
+    def write(table: OccupancyTable, batch: int) -> None:
+        for kind in ("late", "signals"):
+            table.output(kind, batch).write.mode("overwrite").parquet(f"{side}/{kind}/batch={batch}")
+        windows.apply(table.output("results", batch), batch)
 
     return write
 
