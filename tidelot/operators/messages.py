@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelot.session import spread
+
 BLANKS = " \t\r\n\f\x0b"
 
 #: Ranks the deliveries of one identifier: earliest arrival, then lowest offset, then lowest partition.
@@ -55,7 +57,8 @@ def first_delivered(df: DataFrame, payload: Sequence[str], id_col: str = "event_
     map task, so an identifier delivered any number of times never gathers in one task.
     """
     cols = [*RANK, *(c for c in payload if c not in RANK)]
-    rows = ranked(df).select(canonical_id(id_col).alias("_id"), *cols).withColumn("_own", own_key("_id"))
+    rows = spread(df.select(F.col(id_col).alias("_id"), *cols), "kafka_partition", "kafka_offset")
+    rows = ranked(rows).withColumn("_id", canonical_id("_id")).withColumn("_own", own_key("_id"))
     best = rows.groupBy("_id", "_own").agg(F.min(F.struct(*cols)).alias("_first"))
     return best.select(F.col("_id").alias("id"), "_first.*")
 

@@ -27,7 +27,7 @@ from tidelot.functions.timing import HOUR_US, MINUTE_US, SECOND_US, cell_of, flo
 from tidelot.operators import scans
 from tidelot.operators.messages import canonical_id, canonical_word
 from tidelot.operators.validation import valid_events
-from tidelot.session import Staging, materialise
+from tidelot.session import Staging, materialise, spread
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,7 @@ class Params:
 
 def arrivals(events: DataFrame) -> DataFrame:
     """The input columns of the valid events in a table of deliveries."""
+    events = spread(events.select("event_id", "event_type", "sensor_id", "lot_id", "slot_id", "status", "vehicle_token", "event_ts", "ingest_ts", "kafka_offset"), "kafka_offset")
     return valid_events(events).select(
         "lot_id", "slot_id", "sensor_id", canonical_word("event_type").alias("event_type"), canonical_word("status").alias("status"),
         F.lower("vehicle_token").alias("vehicle_token"), canonical_id("event_id").alias("event_id"),

@@ -27,6 +27,11 @@ def judged(spark: SparkSession, d: str) -> o.Judged:
     return _judged(spark, d, listing(spark, f"{d}/parking_events.parquet"))
 
 
+def forget() -> None:
+    """Drop the judged streams, so that the next query makes its own."""
+    _judged.cache_clear()
+
+
 def window_tumbling_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = o.arrivals(table(spark, d, "parking_events"))
     n = rows.groupBy("lot_id", (F.col("ts") - F.pmod("ts", F.lit(P.window))).alias("window_start"))

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
-import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
-#: Largest estimated size, in bytes, of a side that may be broadcast by hint.
-BROADCAST_LIMIT = 16 << 20
+#: Largest size in memory, in bytes, of a side that may be broadcast by hint, and how often the size of files counts for it.
+BROADCAST_LIMIT, EXPANSION = 32 << 20, 4
+#: Bytes of files from which a table is worth an exchange to give all cores work.
+SPREAD_FROM = 1 << 20
 
 
 def build_session(app: str = "tidelot", cores: int | str = "*", memory: str = "8g", **conf: str) -> SparkSession:
@@ -31,23 +39,49 @@ def build_session(app: str = "tidelot", cores: int | str = "*", memory: str = "8
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.environ.get("TIDELOT_SCRATCH") or tempfile.mkdtemp(prefix="tidelot-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.sparkContext._conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder of this session under the shared folder named by ``spark.checkpoint.dir``; all are deleted when the driver's process ends.
+
+    Where that setting is unset a local session uses a folder of this machine; a session on a cluster is
+    refused, as its executors could not read each other's files.
+    """
+    context = spark.sparkContext
+    folder = getattr(context, "_tidelot_scratch", None)
+    if folder is None:
+        root = context.getConf().get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {context.master} share")
+            root = tempfile.mkdtemp(prefix="tidelot-")
+            context.setCheckpointDir(root)
+        folder = f"{root.rstrip('/')}/tidelot-{uuid.uuid4().hex[:12]}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        atexit.register(_delete, files, place)
+        context._tidelot_scratch = folder
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _delete(files: Any, place: Any) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        files.delete(place, True)
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (an upper bound from file sizes for scans without joins)."""
+    """Catalyst's size estimate of a plan: for scans, the size of files, which are encoded and compressed."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Hint a broadcast only when the estimated size is within ``limit``; otherwise the join is planned as usual."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    """Hint a broadcast if the estimate, files counted `EXPANSION` times, is within the limit."""
+    return F.broadcast(df) if EXPANSION * estimated_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """`df` over all cores by the hash of `by`, if its files give fewer tasks than there are cores and it is large enough to matter."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if estimated_bytes(df) < SPREAD_FROM or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *by)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -102,6 +136,17 @@ class Staging:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def write_all(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Several tables at once, as jobs side by side."""
+        return at_once({n: lambda n=n, df=df: self.write(df, n) for n, df in tables.items()})
+
     def __exit__(self, *error: object) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def at_once(jobs: dict[str, Callable[[], Any]]) -> dict[str, Any]:
+    """Results of independent jobs, run side by side: small jobs wait for each other's start-up otherwise."""
+    with ThreadPoolExecutor(min(8, max(1, len(jobs)))) as pool:
+        started = {n: pool.submit(inheritable_thread_target(job)) for n, job in jobs.items()}
+        return {n: f.result() for n, f in started.items()}
