@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tidelot.functions import numbers
 from tidelot.operators import alerts, grid, intervals, lateness, messages, metrics, occupancy, redelivery, scans, sessions, upserts, validation
 from tidelot.operators.store import VersionedTable
 
@@ -394,6 +395,46 @@ def test_hysteresis(spark, series, edges):
     assert [(p["raised_at"], p["cleared_at"]) for p in pairs] == [(edges[0][0], edges[1][0] if len(edges) > 1 else None)]
 
 
+def test_latches_are_restored_from_their_log(spark):
+    log = spark.createDataFrame([("a", "a|FULL_LOT|1", "RAISED", 1), ("b", "b|FULL_LOT|1", "RAISED", 1), ("b", "b|FULL_LOT|1", "CLEARED", 2), (None, "x", "RAISED", 3)], "lot_id string, alert_id string, state string, q int")
+    latched = alerts.restore(log, "lot_id", ["q"])
+    assert rows_of(latched, "lot_id", "alert_id") == [("a", "a|FULL_LOT|1")]
+    df = spark.createDataFrame([(lot, 10_000_000 + i, n, 200) for lot in "ab" for i, n in enumerate((182, 181, 100, 190))], "lot_id string, at_us bigint, current_occupied int, capacity int")
+    edges = alerts.hysteresis(df.withColumn("f", F.col("current_occupied") / F.col("capacity")), "lot_id", "at_us", ["at_us"], "f", keep=("current_occupied", "capacity"), latched=latched)
+    got = rows_of(alerts.full_lot_alerts(edges, ["at_us"], latched), "lot_id", "at_us", "alert_id", "state", "message")
+    raised = lambda k, i, n, pct: (k, 10_000_000 + i, f"{k}|FULL_LOT|10", "RAISED", f"Lot {k} full: {pct}% ({n}/200 slots)")
+    cleared = lambda k, name: (k, 10_000_002, name, "CLEARED", f"Lot {k} has space again: 50% (100/200 slots)")
+    assert got == [cleared("a", "a|FULL_LOT|1"), raised("a", 3, 190, 95), raised("b", 0, 182, 91), cleared("b", "b|FULL_LOT|10"), raised("b", 3, 190, 95)]
+
+
+def test_sensor_alerts(spark):
+    s = spark.createDataFrame([("L", "S1", True, 5_999_999, 150_000_000), ("L", "S1", False, 5_999_999, 200_000_000)], "lot_id string, sensor_id string, silent boolean, last_seen bigint, at bigint")
+    assert rows_of(alerts.sensor_alerts(s), "alert_id", "state", "message") == [("L|S1|5", "CLEARED", "Sensor S1 reporting again"), ("L|S1|5", "RAISED", "Sensor S1 silent for 2 min")]
+
+
+def test_load_row(spark):
+    x = spark.createDataFrame([("a", t, min(t, 5) * 100, max(0, t - 2) * 100) for t in range(8)] + [("b", t, t * 100, t * 10) for t in range(5)], "k string, at_s int, produced int, consumed int")
+    cols = ("k", "delivered", "produced_per_s", "sustained_per_s", "peak_backlog", "end_backlog", "drain_s", "saturated")
+    assert rows_of(metrics.load_row(x, "k", 100, 2.5), *cols) == [("a", 500, 100.0, 500 / 7, 200, 200, 2, False), ("b", 400, 100.0, 10.0, 360, 360, None, True)]
+
+
+def test_subscriptions_are_limited_and_changes_coalesced(spark):
+    deltas = spark.createDataFrame([("L1", "s", 1, 1, "FREE"), ("L1", "s", 5, 2, "OCCUPIED"), ("L2", "s", 1, 3, "FREE"), ("L3", "s", 1, 4, "FREE")], "lot_id string, slot_id string, ts bigint, seq bigint, status string")
+    subs = spark.createDataFrame([("c", "L1"), ("c", "L1"), ("c", "L2"), ("c", "L3"), ("d", None)], "client string, lot_id string")
+    assert rows_of(occupancy.subscribed(deltas, subs, 2), "client", "lot_id", "ts", "status") == [("c", "L1", 5, "OCCUPIED"), ("c", "L2", 1, "FREE")]
+
+
+def test_rounded_ratio_is_exact(spark):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 10**12), rng.randint(1, 3 * 10**8)) for _ in range(300)] + [(1, 8), (3, 8), (5, 8), (1, 16), (0, 7), (45, 1000)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint")
+    got = [r[0] for r in df.select(numbers.rounded_ratio(F.col("a"), F.col("b"), 2)).collect()]
+    want = [float((Decimal(a) / Decimal(b)).quantize(Decimal("0.01"), ROUND_HALF_EVEN)) for a, b in rows]
+    assert got == want
+
+
 def test_lifecycle(spark):
     m = spark.createDataFrame(
         [("a", "RAISED", 1, 1, "r"), ("a", "CLEARED", 5, 2, "c"), ("a", "RAISED", 7, 3, "r2"), ("b", "CLEARED", 4, 1, "x"), ("b", "RAISED", 9, 2, "y"), ("c", "RAISED", 2, 1, "z"), (None, "RAISED", 1, 1, "n")],

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelot.functions.timing import HOUR_US, cell_of
+from tidelot.operators import scans
+
 
 def offset_ranges(log: DataFrame) -> DataFrame:
     """(`partition`, `low`, `high`, `depth`, `n`) of a log with `partition` and `offset`; `high` is the next offset to come."""
@@ -26,12 +29,42 @@ def rates(samples: DataFrame, key: str, at_us: str, value: str) -> DataFrame:
     return samples.withColumn("rate", F.when(change < 0, 0.0).otherwise(change))
 
 
-def increases(samples: DataFrame, key: str, at_us: str, value: str) -> DataFrame:
-    """(`key`, `increase`) of a counter that starts again at 0 when its process does."""
-    w = Window.partitionBy(key).orderBy(at_us)
-    before = F.lag(value).over(w)
+def increases(samples: DataFrame, key: str, at_us: str, value: str, shard_us: int = HOUR_US) -> DataFrame:
+    """(`key`, `increase`) of a counter that starts again at 0 when its process does; `at_us` is unique in a key. Scanned by time shards, however dense the samples."""
+    x = samples.select(key, at_us, value).withColumn("_shard", cell_of(f"`{at_us}`", shard_us))
+    x = scans.scan(x, [key], "_shard", [at_us], lags={"_before": value})
+    before = F.col("_before")
     step = F.when(before.isNull(), 0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    return samples.withColumn("_step", step).groupBy(key).agg(F.sum("_step").alias("increase"))
+    return x.withColumn("_step", step).groupBy(key).agg(F.sum("_step").alias("increase"))
+
+
+def backlog(ends: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row (`produced`, `consumed`, `backlog`): what was written to a log (`offset_ranges`), what left it by any outcome (`outcome`, `n`), and the rest."""
+    produced = ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("produced"))
+    consumed = outcomes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("consumed"))
+    return produced.crossJoin(F.broadcast(consumed)).withColumn("backlog", F.col("produced") - F.col("consumed"))  # a row each
+
+
+def load_row(samples: DataFrame, by: str, offered: float, saturated_after_s: float) -> DataFrame:
+    """What a load test reports per `by`, from samples (`by`, `at_s`, `produced`, `consumed`; totals so far).
+
+    The hold ends when the last event was produced, the drain when all were consumed (null if never).
+    Sustained is all that was produced over both, or what was consumed over the hold where the log did not drain.
+    """
+    first = samples.groupBy(by).agg(F.min("at_s").alias("begin"), F.max("produced").alias("total"))
+    x = samples.join(first, by)
+    x = x.groupBy(by).agg(
+        F.first("begin").alias("begin"), F.first("total").alias("delivered"), F.min(F.when(F.col("produced") == F.col("total"), F.col("at_s"))).alias("held"),
+        F.min(F.when((F.col("produced") == F.col("total")) & (F.col("consumed") == F.col("total")), F.col("at_s"))).alias("drained"), F.max(F.col("produced") - F.col("consumed")).alias("peak_backlog"),
+        F.min_by(F.col("produced") - F.col("consumed"), F.when(F.col("produced") == F.col("total"), F.col("at_s"))).alias("end_backlog"),
+        F.min_by("consumed", F.when(F.col("produced") == F.col("total"), F.col("at_s"))).alias("consumed_in_hold"),
+    )
+    hold = F.col("held") - F.col("begin")
+    sustained = F.when(F.col("drained").isNotNull(), F.col("delivered") / (F.col("drained") - F.col("begin"))).otherwise(F.col("consumed_in_hold") / hold)
+    return x.select(
+        by, "delivered", (F.col("delivered") / hold).alias("produced_per_s"), sustained.alias("sustained_per_s"), "peak_backlog", "end_backlog", (F.col("drained") - F.col("held")).alias("drain_s"),
+        (F.col("end_backlog") > saturated_after_s * offered).alias("saturated"),
+    )
 
 
 def bucket_counts(df: DataFrame, by: list[str], value: str, bounds: list[float]) -> DataFrame:

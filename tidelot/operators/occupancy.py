@@ -279,6 +279,44 @@ def window_results(j: Judged, capacity: DataFrame | None = None) -> DataFrame:
     return project_results(x, j.params, capacity, slots)
 
 
+def subscribed(deltas: DataFrame, subscriptions: DataFrame, most: int = 5) -> DataFrame:
+    """The newest change of each slot of the lots a client subscribed to (`client`, `lot_id`; at most `most` lots each, the first by name).
+
+    Changes of one slot between two pushes are one: (`client`, `lot_id`, `slot_id`, `ts`, `status`).
+    """
+    chosen = subscriptions.filter("client is not null and lot_id is not null").distinct()
+    chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("client").orderBy("lot_id"))).filter(F.col("_n") <= most).drop("_n")
+    newest = deltas.groupBy("lot_id", "slot_id").agg(F.max(F.struct("ts", "seq", "status")).alias("m")).select("lot_id", "slot_id", "m.ts", "m.status")
+    return newest.join(chosen, "lot_id").select("client", "lot_id", "slot_id", "ts", "status")
+
+
+def truth(events: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
+    """Windows as they were in event time, whatever arrived when: (`lot_id`, `window_start`, `area_us`, `covered_us`, `entries`, `exits`, `vehicles`).
+
+    Each valid report counts once, in order of event time; the count of a lot is integrated from its first report to its last event.
+    A slot's first report sets its state and is no entry.
+    """
+    rows = materialise(first_reports(arrivals(events)).filter("event_type = 'OCCUPANCY'").withColumn("_shard", cell_of("ts", p.time_shard)), "true-reports")
+    x = scans.scan(rows, ["lot_id", "slot_id"], "_shard", ["ts", "seq"], lags={"was": "status"}).withColumn("window_start", floor_to("ts", p.window))
+    now_in, was_in = F.col("status") == "OCCUPIED", F.coalesce(F.col("was") == "OCCUPIED", F.lit(False))
+    delta = now_in.cast("int") - was_in.cast("int")
+    x = x.withColumn("delta", delta)
+    rest = F.col("window_start") + p.window - F.col("ts")
+    told = F.col("was").isNotNull()
+    sums = x.select("lot_id", "window_start", "delta", (F.col("delta") * rest).alias("own"), (told & (F.col("delta") > 0)).cast("int").alias("entry"), (F.col("delta") < 0).cast("int").alias("exit"), F.when(now_in, F.col("vehicle_token")).alias("token"))
+    lots = materialise(rows.groupBy("lot_id").agg(F.min("ts").alias("began"), F.max("ts").alias("top")), "true-lots")
+    dense = lots.select("lot_id", F.explode(F.sequence(floor_to("began", p.window), floor_to("top", p.window), F.lit(p.window).cast("bigint"))).alias("window_start"))
+    w = sums.unionByName(dense, allowMissingColumns=True).groupBy("lot_id", "window_start").agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("delta", "net"), ("own", "own"), ("entry", "entries"), ("exit", "exits"))), F.count_distinct("token").alias("vehicles")
+    )
+    w = w.join(lots, "lot_id")
+    before = F.coalesce(F.sum("net").over(Window.partitionBy("lot_id").orderBy("window_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per five minutes
+    end = F.least(F.col("window_start") + p.window, F.col("top"))
+    area = F.col("own") - F.col("net") * (F.col("window_start") + p.window - end) + before * (end - F.col("window_start"))
+    covered = F.greatest(F.lit(0), end - F.greatest("window_start", "began"))
+    return w.select("lot_id", "window_start", area.alias("area_us"), covered.alias("covered_us"), "entries", "exits", "vehicles")
+
+
 def sensor_silences(accepted: DataFrame, p: Params) -> DataFrame:
     """(`lot_id`, `sensor_id`, `last_seen`, `back_at`): silences longer than the threshold, in event time.
 

@@ -16,8 +16,8 @@ from tidelot.functions.timing import DAY_US, HOUR_US, MINUTE_US, cell_of
 from tidelot.operators import alerts as al
 from tidelot.operators import occupancy, upserts
 from tidelot.operators.intervals import latest_version
-from tidelot.plans.stream_core import JUDGED_SQL, judged
-from tidelot.session import broadcast_if_small, table
+from tidelot.plans.stream_core import JUDGED_SQL, TIMELINE_SQL, TRUTH_SQL, VALID_SQL, judged
+from tidelot.session import broadcast_if_small, materialise, table
 
 WINDOW_US = 5 * MINUTE_US
 
@@ -224,9 +224,20 @@ def live_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overview(spark: SparkSession, d: str) -> DataFrame:
-    """One row per lot with everything a dashboard shows of it."""
+    """One row per lot with everything a dashboard shows of it; `rank` is by live occupancy, unknown as empty."""
     x = _summaries(spark, d).join(live_overlay(spark, d).select("lot_id", F.col("occupied").alias("live_occupied"), "is_live"), "lot_id", "left")
-    return x.join(sparkline_topn(spark, d), "lot_id", "left").join(full_since(spark, d), "lot_id", "left").select("lot_id", "capacity", "as_of", "live_occupied", "is_live", "spark", "full_since")
+    x = x.withColumn("live_permille", num.permille("live_occupied", "capacity"))
+    x = x.withColumn("rank", F.row_number().over(Window.orderBy(F.coalesce("live_permille", F.lit(0)).desc(), "lot_id")))  # a row per lot
+    x = x.join(sparkline_topn(spark, d), "lot_id", "left").join(full_since(spark, d), "lot_id", "left")
+    return x.select("rank", "lot_id", "capacity", "as_of", "live_occupied", "live_permille", "is_live", "spark", "full_since")
+
+
+def overview_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The overview's head: capacity and live count of all lots, their share, and how many alerts are active."""
+    x = _summaries(spark, d).join(live_overlay(spark, d).select("lot_id", F.col("occupied").alias("live_occupied")), "lot_id", "left")
+    x = x.agg(F.count(F.lit(1)).alias("lots"), F.coalesce(F.sum("capacity"), F.lit(0)).alias("total_capacity"), F.coalesce(F.sum("live_occupied"), F.lit(0)).alias("total_occupied"))
+    active = active_alerts(spark, d).select("n").scalar()
+    return x.select("*", F.coalesce(num.permille("total_occupied", "total_capacity"), F.lit(0)).alias("occupancy_permille"), active.alias("active_alerts"))
 
 
 def lot_detail(spark: SparkSession, d: str, lot_id: str = "LOT-07") -> DataFrame:
@@ -239,15 +250,41 @@ def lot_detail(spark: SparkSession, d: str, lot_id: str = "LOT-07") -> DataFrame
 
 
 def truth_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Stored closed windows against those computed here: compared, missing and differing flows per lot."""
-    p = occupancy.Params()
-    mine = occupancy.time_weighted(judged(spark, d)).join(occupancy.flows(judged(spark, d)), ["lot_id", "window_start"], "left").fillna(0, ["entries", "exits"])
-    w = stored_windows(spark, d).filter("closed").select("lot_id", "window_start", F.col("entries").alias("e"), F.col("exits").alias("x"))
-    both = w.join(mine.filter(F.col("covered_us") == p.window), ["lot_id", "window_start"], "left")
-    missing = F.col("area_us").isNull()
+    """Closed results of the pipeline against event-time truth per lot: compared, missing, and differing by field.
+
+    Averages may differ by 0.05 slots, flows not at all. A lot's first window and those not closed at its end are left out.
+    """
+    true = occupancy.truth(table(spark, d, "parking_events")).filter(F.col("covered_us") == WINDOW_US)
+    j = judged(spark, d)
+    closed = occupancy.closed_at(j.params)
+    mine = occupancy.window_updates(j, ("net", "flows")).filter("covered_us > 0").select("lot_id", "window_start", F.col("area_us").alias("a"), F.col("covered_us").alias("c"), F.col("entries").alias("e"), F.col("exits").alias("x"), closed.alias("closed"))
+    both = true.join(j.lots.select("lot_id", "top"), "lot_id", "left").filter(closed).drop("top").join(mine.filter("closed"), ["lot_id", "window_start"], "left")
+    here, n = F.col("a").isNotNull(), F.count(F.lit(1))
     return both.groupBy("lot_id").agg(
-        F.count(F.lit(1)).alias("compared"), F.count_if(missing).alias("missing"), F.count_if(~missing & ((F.col("e") != F.col("entries")) | (F.col("x") != F.col("exits")))).alias("differing")
-    )
+        F.count_if(here).alias("compared"), (n - F.count_if(here)).alias("missing"), F.count_if(here & (F.abs(F.col("a") / F.col("c") - F.col("area_us") / F.col("covered_us")) > 0.05)).alias("average_differs"),
+        F.count_if(here & (F.col("e") != F.col("entries"))).alias("entries_differ"), F.count_if(here & (F.col("x") != F.col("exits"))).alias("exits_differ"),
+    )
+
+
+def full_lot_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of full lots at the usual thresholds, from the live counts of open windows; latches start as the first half of the log leaves them."""
+    w = table(spark, d, "lot_occupancy_5min").filter("not closed and current_occupied is not null and capacity > 0 and lot_id is not null and emitted_at is not null")
+    x = w.groupBy("lot_id", F.unix_micros("emitted_at").alias("at_us"), F.unix_micros("window_start").alias("ws")).agg(F.max(F.struct((F.col("current_occupied") / F.col("capacity")).alias("fraction"), "current_occupied", "capacity")).alias("m"))
+    x = materialise(x.select("lot_id", "at_us", "ws", "m.*", cell_of("at_us", DAY_US).alias("shard")), "live-counts")
+    middle = x.agg(F.floor((F.min("at_us") + F.max("at_us")) / 2).alias("middle")).select("middle").scalar()
+    seq = ["at_us", "ws"]
+    edges = lambda part, latched=None: al.hysteresis(part, "lot_id", "at_us", seq, "fraction", 0.90, 0.85, "shard", ("current_occupied", "capacity"), latched)
+    first = materialise(al.full_lot_alerts(edges(x.filter(F.col("at_us") < middle)).withColumn("half", F.lit(1)), seq), "first-alerts")
+    latched = materialise(al.restore(first, "lot_id", ["at_us"]), "latched")
+    second = al.full_lot_alerts(edges(x.filter(F.col("at_us") >= middle), latched), seq, latched)
+    return first.unionByName(second).select("alert_id", "state", "lot_id", "at_us", "message", "occupancy_pct")
+
+
+def alert_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Latches of full lots that the log of alerts leaves raised: its newest version of each lot's newest alert is active."""
+    a = stored_alerts(spark, d).filter("kind = 'FULL_LOT' and raised_at is not null")
+    log = a.select("lot_id", "alert_id", "raised_at", F.when(F.col("status") == "active", "RAISED").otherwise("CLEARED").alias("state"))
+    return al.restore(log, "lot_id", ["raised_at", "alert_id"])
 
 
 _WINDOWS = """w as (select lot_id, epoch_us(window_start) as window_start, capacity, avg_occupied, avg_occupancy_pct, min_occupied, max_occupied, entries, exits,
@@ -319,6 +356,33 @@ select lot_id, at_us, ws, state from d where state <> coalesce(was, 'CLEARED')""
 select s.lot_id, cast(position as int) as position, s.slot_id, coalesce(st, 'UNKNOWN') as state, ts from s left join state using (lot_id, slot_id)""",
     "live_overlay": f"""with {_LATEST}, {_STATE}, live as (select lot_id, count_if(st = 'OCCUPIED') as live from state group by lot_id)
 select lot_id, coalesce(live, occupied) as occupied, live is not null as is_live from lots left join live using (lot_id)""",
+    "overview": f"""with {_LATEST}, {_STATE}, {_ALERTS}, live as (select lot_id, count_if(st = 'OCCUPIED') as live from state group by lot_id),
+r as (select *, row_number() over (partition by lot_id order by window_start desc) as k from windows where window_start > (select max(window_start) from windows) - 172800000000),
+sp as (select lot_id, string_agg(cast(cast(floor(avg_occupancy_pct * 100 + 0.5) as bigint) as varchar), ',' order by window_start) as spark from r where k <= 24 group by lot_id),
+fs as (select lot_id, max(raised_at) as full_since from last_alerts where kind = 'FULL_LOT' and status = 'active' and lot_id is not null group by lot_id),
+x as (select lots.lot_id, capacity, as_of, coalesce(live, occupied) as live_occupied, live is not null as is_live, case when capacity > 0 then cast(floor(coalesce(live, occupied) * 1000 / capacity + 0.5) as bigint) end as live_permille from lots left join live using (lot_id))
+select row_number() over (order by coalesce(live_permille, 0) desc, lot_id) as rank, lot_id, capacity, as_of, live_occupied, live_permille, is_live, spark, full_since from x left join sp using (lot_id) left join fs using (lot_id)""",
+    "overview_totals": f"""with {_LATEST}, {_STATE}, {_ALERTS}, live as (select lot_id, count_if(st = 'OCCUPIED') as live from state group by lot_id),
+t as (select count(*) as lots, cast(sum(capacity) as bigint) as total_capacity, cast(sum(coalesce(live, occupied)) as bigint) as total_occupied from lots left join live using (lot_id))
+select *, cast(floor(total_occupied * 1000 / total_capacity + 0.5) as bigint) as occupancy_permille, (select count(*) from last_alerts where status = 'active') as active_alerts from t""",
+    "truth_compare": f"""with {TIMELINE_SQL}, {TRUTH_SQL.removeprefix(VALID_SQL + ",")},
+fl as (select lot_id, window_start, sum(entry) as e, sum(exit) as x from changes group by all), tops as (select lot_id, max(ts) as top from judged where not late group by all),
+b as (select t.*, w.area_us as a, w.covered_us as c, coalesce(e, 0) as e, coalesce(x, 0) as x from truth t join tops using (lot_id) left join weighted w using (lot_id, window_start) left join fl using (lot_id, window_start)
+  where t.covered_us = 300000000 and window_start + 420000000 < top - 60000000)
+select lot_id, count(a) as compared, count(*) - count(a) as missing, count_if(abs(a / c - area_us / covered_us) > 0.05) as average_differs, count_if(a is not null and e <> entries) as entries_differ,
+  count_if(a is not null and x <> exits) as exits_differ from b group by lot_id""",
+    "full_lot_alerts": """with x as (select lot_id, epoch_us(emitted_at) as at_us, epoch_us(window_start) as ws, current_occupied, capacity, current_occupied / capacity as fraction,
+    row_number() over (partition by lot_id, emitted_at, window_start order by current_occupied / capacity desc, current_occupied desc, capacity desc) as rn from lot_occupancy_5min
+    where not closed and current_occupied is not null and capacity > 0 and lot_id is not null and emitted_at is not null),
+s as (select *, case when fraction >= 0.9 then 'RAISED' when fraction <= 0.85 then 'CLEARED' end as state from x where rn = 1),
+d as (select *, lag(state) over (partition by lot_id order by at_us, ws) as was from s where state is not null),
+e as (select *, lag(at_us) over (partition by lot_id order by at_us, ws) as raised from d where state <> coalesce(was, 'CLEARED')),
+p as (select *, current_occupied * 1000 // capacity as q, 2 * (current_occupied * 1000 % capacity) as t from e),
+r as (select *, (q + case when t > capacity or (t = capacity and q % 2 = 1) then 1 else 0 end) / 10 as pct from p)
+select lot_id || '|FULL_LOT|' || (case when state = 'RAISED' then at_us else raised end // 1000000) as alert_id, state, lot_id, at_us,
+  'Lot ' || lot_id || case when state = 'RAISED' then ' full: ' else ' has space again: ' end || cast(round_even(pct, 0) as int) || '% (' || current_occupied || '/' || capacity || ' slots)' as message, pct as occupancy_pct from r""",
+    "alert_restore": f"""with {_ALERTS}, n as (select *, row_number() over (partition by lot_id order by raised_at desc, alert_id desc) as k from last_alerts where kind = 'FULL_LOT' and raised_at is not null and lot_id is not null)
+select lot_id, alert_id from n where k = 1 and status = 'active'""",
     "lot_detail": f"""with {_LATEST}, {_ALERTS},
 l as (select lot_id, max(window_start) as last from windows group by lot_id),
 s as (select lot_id, cast(coalesce(sum(entries), 0) as bigint) as entries, cast(coalesce(sum(exits), 0) as bigint) as exits from windows join l using (lot_id) where window_start > last - 86400000000 group by lot_id)
@@ -330,6 +394,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         upsert_closed_final, batch_collapse, latest_per_lot, latest_per_lot_lateral, sparkline_topn, lot_stats_24h, dwell_littles_law, rank_lots, system_totals, lot_labels, hourly_rollup,
-        history_page, history_hourly, alerts_page, active_alerts, full_since, alert_lifecycle, alert_hysteresis, slot_snapshot, live_overlay, overview, lot_detail, truth_compare,
+        history_page, history_hourly, alerts_page, active_alerts, full_since, alert_lifecycle, alert_hysteresis, slot_snapshot, live_overlay, overview, overview_totals, lot_detail, truth_compare, full_lot_alerts, alert_restore,
     )
 }

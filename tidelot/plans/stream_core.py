@@ -7,9 +7,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelot.functions.timing import MINUTE_US
+from tidelot.operators import alerts, metrics, validation
 from tidelot.operators import occupancy as o
-from tidelot.operators import validation
 from tidelot.session import listing, table
 
 P = o.Params()
@@ -124,8 +123,53 @@ def window_results_checked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sensor_offline(spark: SparkSession, d: str) -> DataFrame:
-    p = o.Params(offline_after=20 * MINUTE_US)  # the sensors of these tables report every few minutes
-    return o.sensor_silences(judged(spark, d).accepted, p)
+    return o.sensor_silences(judged(spark, d).accepted, P)
+
+
+def sensor_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """A raise where a sensor had been silent for longer than the threshold, when it is noticed, and a clear when it is back."""
+    x = o.sensor_silences(judged(spark, d).accepted, P)
+    raised = x.select("lot_id", "sensor_id", F.lit(True).alias("silent"), "last_seen", (F.col("last_seen") + P.offline_after + 1).alias("at"))
+    cleared = x.filter("back_at is not null").select("lot_id", "sensor_id", F.lit(False).alias("silent"), "last_seen", F.col("back_at").alias("at"))
+    return alerts.sensor_alerts(raised.unionByName(cleared)).select("alert_id", "state", "at_us", "message")
+
+
+def subscribed_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Newest slot changes for two clients, one that watches its five lots and one that asks for more than it may."""
+    lots = table(spark, d, "lot_metadata").filter("lot_id is not null")
+    few = lots.filter("personality = 'mall'").orderBy("lot_id").limit(5).select(F.lit("few").alias("client"), "lot_id")
+    every = lots.select(F.lit("every").alias("client"), "lot_id")
+    return o.subscribed(judged(spark, d).changes, few.unionByName(every))
+
+
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries by what became of them: processed, dlq, duplicate or late."""
+    e = table(spark, d, "parking_events")
+    valid = validation.valid_events(e).filter("kafka_offset is not null").agg(F.count(F.lit(1)).alias("n"))
+    j = judged(spark, d)
+    kept = j.rows.groupBy(F.when(F.col("late"), "late").otherwise("processed").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    n_kept = j.rows.agg(F.count(F.lit(1))).scalar()
+    duplicate = valid.select(F.lit("duplicate").alias("outcome"), (F.col("n") - n_kept).alias("n"))
+    dead = e.agg(F.count(F.lit(1)).alias("n")).select(F.lit("dlq").alias("outcome"), (F.col("n") - valid.select("n").scalar()).alias("n"))
+    return kept.unionByName(duplicate).unionByName(dead)
+
+
+def true_backlog(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the log less those of every outcome but the dead letters, which are still to be written."""
+    log = table(spark, d, "parking_events").select(F.col("kafka_partition").alias("partition"), F.col("kafka_offset").alias("offset"))
+    return metrics.backlog(metrics.offset_ranges(log), outcomes(spark, d).filter("outcome <> 'dlq'"))
+
+
+def delay_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Delay from event to arrival of one accepted row in eight, by bucket."""
+    x = judged(spark, d).accepted.filter(F.pmod("seq", F.lit(8)) == 0)
+    x = x.select(F.lit(0).alias("all"), (F.greatest(F.lit(0), F.col("arrival") - F.col("ts")) / 1e6).alias("delay"))
+    return metrics.bucket_counts(x, ["all"], "delay", [0.1, 1.0, 10.0, 60.0, 600.0]).select("le", "n")
+
+
+def truth_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows in event time, lateness and repeats put aside."""
+    return o.truth(table(spark, d, "parking_events"))
 
 
 _CANON = "upper(trim({}, ' \t\r\n'))"
@@ -170,6 +214,15 @@ nexts as (select *, lead(cursor) over (partition by lot_id order by seq) as nxt
 seen as (select lot_id, occupied, unnest(range(cursor - cursor % 300000000, nxt, 300000000)) as window_start from nexts where nxt > cursor
   union all select lot_id, occupied, ts - ts % 300000000 from nexts where delta <> 0 and ts >= cursor),
 extremes as (select lot_id, window_start, cast(min(occupied) as bigint) as min_occupied, cast(max(occupied) as bigint) as max_occupied from seen group by all)"""
+TRUTH_SQL = f"""{VALID_SQL},
+true_reports as (select *, lag(st) over (partition by lot_id, slot_id order by ts, seq) as was from firsts where kind = 'OCCUPANCY'),
+moves as (select *, case when st = 'OCCUPIED' and was is distinct from 'OCCUPIED' then 1 when st = 'FREE' and was = 'OCCUPIED' then -1 else 0 end as delta from true_reports),
+true_line as (select lot_id, ts, lead(ts) over w as until, sum(delta) over (w rows unbounded preceding) as occupied from moves window w as (partition by lot_id order by ts, seq)),
+true_parts as (select lot_id, ts, until, occupied, unnest(range(ts - ts % 300000000, until, 300000000)) as window_start from true_line where until > ts),
+areas as (select lot_id, window_start, sum(occupied * (least(until, window_start + 300000000) - greatest(ts, window_start))) as area, sum(least(until, window_start + 300000000) - greatest(ts, window_start)) as covered from true_parts group by all),
+own as (select lot_id, ts - ts % 300000000 as window_start, count_if(was is not null and delta > 0) as entries, count_if(delta < 0) as exits, count(distinct token) filter (where st = 'OCCUPIED') as vehicles from moves group by all),
+truth as (select lot_id, window_start, cast(coalesce(area, 0) as bigint) as area_us, cast(coalesce(covered, 0) as bigint) as covered_us, coalesce(entries, 0) as entries, coalesce(exits, 0) as exits, coalesce(vehicles, 0) as vehicles
+  from areas full join own using (lot_id, window_start))"""
 RESULTS_SQL = f"""{TIMELINE_SQL}, {EXTREMES_SQL},
 flows as (select lot_id, window_start, cast(sum(entry) as bigint) as entries, cast(sum(exit) as bigint) as exits from changes group by all),
 fresh as (select lot_id, window_start, max(arrival) as latest_arrival_us, count(distinct token) filter (where st = 'OCCUPIED') as vehicles from reports group by all),
@@ -207,13 +260,31 @@ select cast(floor(log10(n)) as bigint) as magnitude, count(*) as n, true as mean
     "sensor_offline": f"""with {JUDGED_SQL},
 s as (select distinct lot_id, sensor_id, ts from judged where not late),
 n as (select *, lead(ts) over (partition by lot_id, sensor_id order by ts) as back_at, max(ts) over (partition by lot_id) as ended from s)
-select lot_id, sensor_id, ts as last_seen, back_at from n where coalesce(back_at, ended) - ts > 1200000000""",
+select lot_id, sensor_id, ts as last_seen, back_at from n where coalesce(back_at, ended) - ts > 120000000""",
+    "sensor_alerts": f"""with {JUDGED_SQL},
+s as (select distinct lot_id, sensor_id, ts from judged where not late),
+n as (select *, lead(ts) over (partition by lot_id, sensor_id order by ts) as back_at, max(ts) over (partition by lot_id) as ended from s),
+g as (select *, lot_id || '|' || sensor_id || '|' || (ts // 1000000) as alert_id from n where coalesce(back_at, ended) - ts > 120000000)
+select alert_id, 'RAISED' as state, ts + 120000001 as at_us, 'Sensor ' || sensor_id || ' silent for 2 min' as message from g
+union all select alert_id, 'CLEARED', back_at, 'Sensor ' || sensor_id || ' reporting again' from g where back_at is not null""",
+    "subscribed_deltas": f"""with {JUDGED_SQL},
+few as (select 'few' as client, lot_id from lot_metadata where personality = 'mall' order by lot_id limit 5),
+every as (select 'every' as client, lot_id from lot_metadata order by lot_id limit 5),
+n as (select *, row_number() over (partition by lot_id, slot_id order by ts desc, seq desc) as newest from changes)
+select client, lot_id, slot_id, ts, st as status from n join (select * from few union all select * from every) using (lot_id) where newest = 1""",
+    "outcomes": f"""with {JUDGED_SQL} select case when late then 'late' else 'processed' end as outcome, count(*) as n from judged group by all
+union all select 'duplicate', (select count(*) from arrivals) - (select count(*) from judged) union all select 'dlq', (select count(*) from parking_events) - (select count(*) from arrivals)""",
+    "true_backlog": f"with {JUDGED_SQL} select count(*) as produced, (select count(*) from arrivals) as consumed, count(*) - (select count(*) from arrivals) as backlog from parking_events where kafka_offset is not null",
+    "delay_sample": f"""with {JUDGED_SQL}, x as (select greatest(0, arrival - ts) / 1e6 as delay from judged where not late and seq % 8 = 0)
+select le, (select count(*) from x where delay <= le) as n from (values (0.1::double), (1.0), (10.0), (60.0), (600.0), ('inf'::double)) v(le)""",
+    "truth_windows": f"""with {TRUTH_SQL} select * from truth""",
 }
 
 QUERIES = {
     f.__name__: f
     for f in (
         window_tumbling_counts, event_consistency, dedupe_first, watermark_trace, late_side_output, regression_guard, slot_transitions, window_time_weighted, window_gap_fill,
-        window_min_max, window_entries_exits, window_unique_exact, window_unique_hll, hll_error_report, window_results, window_results_closed, window_results_checked, sensor_offline,
+        window_min_max, window_entries_exits, window_unique_exact, window_unique_hll, hll_error_report, window_results, window_results_closed, window_results_checked, sensor_offline, sensor_alerts,
+        subscribed_deltas, outcomes, true_backlog, delay_sample, truth_windows,
     )
 }
