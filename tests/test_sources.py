@@ -101,3 +101,29 @@ def test_texts_and_labels(spark):
     df = spark.createDataFrame([(42.0, 950.0, 91.0), (420.0, 97066.0, 75.0), (11100.0, 0.0, None)], "s double, r double, p double")
     got = [tuple(r) for r in df.select(numbers.duration_text("s"), numbers.rate_text("r"), numbers.fill_label(F.col("p")), numbers.percent_text("p")).collect()]
     assert got == [("42 s", "950 /s", "Full", "91%"), ("7 min", "97.1k /s", "Filling", "75%"), ("3 h 05 min", "0 /s", "No data", None)]
+
+
+def test_poisson_and_log_normal_draws(spark):
+    x = spark.range(20_000).select(generate.draw(1, "id").alias("u"), generate.draw(2, "id").alias("v"))
+    x = x.select(generate.poisson(F.col("u"), F.lit(0.7)).alias("few"), generate.poisson(F.col("u"), F.lit(40.0)).alias("many"), F.log(generate.log_normal(F.col("u"), F.col("v"), F.lit(100.0), F.lit(0.5))).alias("l"))
+    r = x.agg(F.avg("few"), F.variance("few"), F.avg("many"), F.variance("many"), F.avg("l"), F.stddev("l")).first()
+    assert [abs(a - b) < c for a, b, c in zip(r, (0.7, 0.7, 40, 40, 4.60517, 0.5), (0.02, 0.03, 0.2, 1.5, 0.02, 0.02), strict=True)] == [True] * 6
+    assert spark.range(1).select(generate.poisson(F.lit(0.999), F.lit(0.0)).alias("n")).first()["n"] == 0
+
+
+def test_visits_of_a_slot_do_not_overlap_and_stale_departures_are_void(spark):
+    lots = spark.createDataFrame([("L", "mall", 3)], "lot_id string, personality string, capacity int")
+    start = 1_454_284_800_000_000
+    v = generate.visits(lots, start, 24 * 60, burst_every_s=3600, burst_s=1800, burst_factor=20.0)
+    rows = sorted((r["slot"], r["arrives_us"], r["leaves_us"], r["cut_short"]) for r in v.collect())
+    assert rows and any(r[3] for r in rows) and all(a[2] >= a[1] for a in rows)
+    for a, b in zip(rows, rows[1:], strict=False):
+        assert a[0] != b[0] or a[2] <= b[1]
+    e = generate.visit_events(v, start, until_us=start + 180_000_000)
+    n = {r["event_type"]: r["count"] for r in e.groupBy("event_type").count().collect()}
+    assert n["OCCUPANCY"] == 2 * len(rows) and n["HEARTBEAT"] == 3 * len({r[0] for r in rows})
+
+
+def test_release_order(spark):
+    log = spark.createDataFrame([(0, 1, 10, 5.0), (0, 2, 11, 0.0), (0, 3, 12, 0.0)], "partition int, offset bigint, t bigint, delay_s double").withColumn("event_ts", F.timestamp_seconds("t"))
+    assert [r["offset"] for r in generate.in_order_of_release(log).collect()] == [2, 3, 1]

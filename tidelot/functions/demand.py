@@ -33,9 +33,23 @@ def target(df: DataFrame, personality: str, weekend: str, hour: str) -> DataFram
     return df.join(s, at, "left").withColumn("target", value).drop("_p", "_w", "h0", "v0", "h1", "v1")
 
 
-def mean_stay(personality: Column) -> Column:
-    """Mean stay in seconds of a log-normal stay."""
+def _by_kind(personality: Column, values: dict[str, float]) -> Column:
     out = F.lit(None).cast("double")
-    for name, (median, sigma) in STAYS.items():
-        out = F.when(personality == name, median * exp(sigma**2 / 2)).otherwise(out)
+    for name, value in values.items():
+        out = F.when(personality == name, float(value)).otherwise(out)
     return out
+
+
+def median_stay(personality: Column) -> Column:
+    """Median stay in seconds."""
+    return _by_kind(personality, {k: median for k, (median, _) in STAYS.items()})
+
+
+def sigma_stay(personality: Column) -> Column:
+    """Sigma of the log-normal stay."""
+    return _by_kind(personality, {k: sigma for k, (_, sigma) in STAYS.items()})
+
+
+def mean_stay(personality: Column) -> Column:
+    """Mean stay in seconds of a log-normal stay."""
+    return _by_kind(personality, {k: median * exp(sigma**2 / 2) for k, (median, sigma) in STAYS.items()})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelot.functions import demand, partitioning
@@ -101,10 +103,44 @@ def dlq_validate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fault_counts(spark: SparkSession, d: str) -> DataFrame:
-    """What injection did: rows by fault, and how many of each the strict parser rejects."""
+    """What injection did: rows by fault, and how many of those made malformed the strict parser rejects."""
     log = _encoded(spark, d).withColumn("sensor_id", F.lit("S"))
     x = records.parse_strict(generate.with_faults(log, 10, 5, 5).drop("sensor_id"))
-    return x.groupBy(F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("n_rejected"))
+    rejected = F.count_if(F.col("error").isNotNull())
+    return x.groupBy(F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count(F.lit(1)).alias("n"), F.when(F.first("fault") == "malformed", rejected).alias("n_rejected"))
+
+
+#: A Monday, from which visits are generated.
+VISITS_FROM = 1454284800_000_000
+
+
+def visits_generated(spark: SparkSession, d: str) -> DataFrame:
+    """A day of generated visits with a burst in every third hour: arrivals by lot and hour."""
+    v = _visits(spark, d)
+    return v.groupBy("lot_id", F.floor((F.col("arrives_us") - VISITS_FROM) / 3.6e9).alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if("cut_short").alias("n_cut_short"))
+
+
+def _visits(spark: SparkSession, d: str) -> DataFrame:
+    lots = table(spark, d, "lot_metadata").select("lot_id", "personality", "capacity")
+    return generate.visits(lots, VISITS_FROM, 24 * 60, seed=5, burst_every_s=3 * 3600, burst_s=3600, burst_factor=2.0)
+
+
+def load_test_row(spark: SparkSession, d: str) -> DataFrame:
+    """What a load test would report by partition, if each hour's arrivals were consumed an hour later."""
+    hour = cell_of("at", HOUR_US)
+    per = _log(spark, d).filter("at is not null").groupBy("partition", hour.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    produced = per.select("partition", "h", F.col("n").alias("p"), F.lit(0).alias("c"))
+    consumed = per.select("partition", (F.col("h") + 1).alias("h"), F.lit(0).alias("p"), F.col("n").alias("c"))
+    both = produced.unionByName(consumed).groupBy("partition", "h").agg(F.sum("p").alias("p"), F.sum("c").alias("c"))
+    w = Window.partitionBy("partition").orderBy("h")  # a row per hour
+    samples = both.select("partition", (F.col("h") * 3600).alias("at_s"), F.sum("p").over(w).alias("produced"), F.sum("c").over(w).alias("consumed"))
+    return metrics.load_row(samples, "partition", 1.0, 2.0)
+
+
+def newest_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """The newest three rows of each partition by arrival."""
+    e = _events(spark, d).filter("ingest_ts is not null").select("kafka_partition", "kafka_offset", F.unix_micros("ingest_ts").alias("at_us"))
+    return metrics.newest_n(e, ["kafka_partition"], [F.col("at_us").desc(), F.col("kafka_offset").desc()], 3)
 
 
 def lenient_slot_events(spark: SparkSession, d: str) -> DataFrame:
@@ -156,6 +192,9 @@ _PAIRS = ", ".join(f"struct_pack(le := cast({b} as double), n := b{i})" for i, b
 _CURVES = ", ".join(
     f"('{p}', {str(w).lower()}, {a[0]}::double, {a[1]}::double, {b[0]}::double, {b[1]}::double)" for (p, w), c in demand.CURVES.items() for a, b in zip(c, c[1:], strict=False)
 )
+_STAYS = ", ".join(f"('{k}', {m}::double, {s}::double, {m * math.exp(s**2 / 2)!r}::double)" for k, (m, s) in demand.STAYS.items())
+_MD5 = "(('0x' || substr(md5({}), 1, 8))::bigint / 4294967296.0::double)"
+_DRAW = _MD5.format("{} kafka_partition || ':' || kafka_offset")
 _LOG = "log as (select kafka_partition as p, kafka_offset as o, batch_no, epoch_us(ingest_ts) as t from parking_events), ends as (select p, min(o) as low, max(o) + 1 as high, count(*) as n from log group by p)"
 
 ORACLES = {
@@ -184,6 +223,30 @@ select 'raw' as "group", batch_no, case when state = 'rebalancing' and was <> 'r
 from x where was is not null and (was <> state or signature is distinct from prior)""",
     "dlq_validate": f"""with {VALID_SQL}, x as (select case when kafka_offset % 50 = 7 then 'malformed JSON' else reason end as reason from reasons)
 select reason, count(*) as n from x where reason is not null group by reason""",
+    "fault_counts": f"""with x as (select *, {_DRAW.format("'3:' ||")} as u0, {_DRAW.format("'4:' ||")} as u1, {_DRAW.format("'5:' ||")} as u2 from parking_events)
+select case when u0 < 0.1 then 'late' else 'none' end as fault, count(*) as n, cast(null as bigint) as n_rejected from x group by all
+union all select 'duplicate', count(*), null from x where u1 < 0.05 union all select 'malformed', count(*), count(*) from x where u2 < 0.05""",
+    "visits_generated": f"""with recursive s(personality, weekend, h0, v0, h1, v1) as (values {_CURVES}), k(personality, median, sigma, mean) as (values {_STAYS}),
+m as (select lot_id, personality, capacity, unnest(range(1440)) as minute from lot_metadata where lot_id is not null and capacity is not null),
+t as (select m.*, case when minute * 60 % 10800 < 3600 then 2.0::double else 1.0 end * capacity * (v0 + (v1 - v0) * (minute / 60.0::double - h0) / (h1 - h0)) * 60 / mean as lam, median, sigma
+  from m join s on m.personality = s.personality and not weekend and minute / 60.0::double >= h0 and minute / 60.0::double < h1 join k on k.personality = m.personality),
+u as (select *, {_MD5.format("'5:' || lot_id || ':' || minute || ':n'")} as u from t),
+q as (select lot_id, minute, capacity, median, sigma, lam, u, 0 as n, exp(-lam) as p, exp(-lam) as c from u
+  union all select lot_id, minute, capacity, median, sigma, lam, u, n + 1, p * lam / (n + 1), c + p * lam / (n + 1) from q where c <= u and n < 200),
+c as (select lot_id, minute, capacity, median, sigma, max(n) as n from q group by all having max(n) > 0),
+e as (select *, unnest(range(1, n + 1)) as k from c),
+d as (select *, {_MD5.format("'5:' || lot_id || ':' || minute || ':' || k || ':slot'")} as ds, {_MD5.format("'5:' || lot_id || ':' || minute || ':' || k || ':at'")} as da,
+  {_MD5.format("'5:' || lot_id || ':' || minute || ':' || k || ':u'")} as du, {_MD5.format("'5:' || lot_id || ':' || minute || ':' || k || ':v'")} as dv from e),
+v as (select lot_id, cast(floor(ds * capacity) as int) as slot, {VISITS_FROM} + minute * 60000000 + cast(floor(da * 60) as bigint) * 1000000 as a, minute || '-' || k as visit,
+  cast(floor(greatest(60.0::double, median * exp(sigma * sqrt(-2 * ln(1 - du)) * cos(2 * pi() * dv)))) as bigint) as stay from d),
+w as (select *, lead(a) over (partition by lot_id, slot order by a, visit) as nxt from v)
+select lot_id, cast((a - {VISITS_FROM}) // 3600000000 as bigint) as hour, count(*) as n, count_if(coalesce(nxt <= a + stay * 1000000, false)) as n_cut_short from w group by all""",
+    "load_test_row": """with p as (select kafka_partition as partition, epoch_us(ingest_ts) // 3600000000 as h, count(*) as n from parking_events where ingest_ts is not null group by all),
+t as (select partition, min(h) as lo, max(h) as hi, sum(n) as total, arg_max(n, h) as last from p group by partition)
+select partition, cast(total as bigint) as delivered, total / ((hi - lo) * 3600) as produced_per_s, total / ((hi + 1 - lo) * 3600) as sustained_per_s, (select max(n) from p where p.partition = t.partition) as peak_backlog,
+  last as end_backlog, cast(3600 as bigint) as drain_s, last > 2.0 as saturated from t""",
+    "newest_arrivals": """select kafka_partition, kafka_offset, epoch_us(ingest_ts) as at_us from parking_events where ingest_ts is not null
+qualify row_number() over (partition by kafka_partition order by ingest_ts desc, kafka_offset desc) <= 3""",
     "lenient_slot_events": f"""with {VALID_SQL} select lot_id, st as status, count(*) as n, max(epoch_us(event_ts) // 1000 * 1000) as newest from reasons
 where kind = 'OCCUPANCY' and st in ('OCCUPIED', 'FREE') and lot_id is not null and slot_id is not null and event_ts is not null group by all""",
     "compacted_metadata": "select lot_id, capacity from lot_metadata",
@@ -210,7 +273,7 @@ select lot_id, cast((xor(h, h >> 15) & 2147483647) % 6 as int) as partition from
 QUERIES = {
     f.__name__: f
     for f in (
-        topic_stats, partition_depth, silent_sensors, lag_by_group, rate_from_offsets, counter_increase, histogram_quantile, rebalance_detect, dlq_validate, fault_counts, lenient_slot_events,
+        topic_stats, partition_depth, silent_sensors, lag_by_group, rate_from_offsets, counter_increase, histogram_quantile, rebalance_detect, dlq_validate, fault_counts, visits_generated, load_test_row, newest_arrivals, lenient_slot_events,
         compacted_metadata, replay_deltas, demand_interpolate, partition_murmur2, partition_skew,
     )
 }

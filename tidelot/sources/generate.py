@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,76 @@ def slot_ids(n: Column) -> Column:
 
 
 def draw(*parts: Column | str | int) -> Column:
-    """A uniform number within [0, 1) that depends on `parts` only."""
-    cols = [F.lit(p) if isinstance(p, int) else p for p in parts]
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
+    """A uniform number within [0, 1) that depends on `parts` only: the first 32 bits of an MD5 over their texts, so that every engine draws the same."""
+    cols = [F.lit(str(p)) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def poisson(u: Column, mean: Column) -> Column:
+    """The Poisson number of mean `mean` at a uniform draw `u`, by its cumulative probabilities, searched up to twelve standard deviations and 15 above the mean: a draw has 32 bits, what lies beyond has none."""
+    far = F.ceil(mean + 12 * F.sqrt(mean) + 15).cast("int")
+    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
+    step = lambda acc, i: F.when(acc["c"] > u, acc).otherwise(F.struct((acc["p"] * mean / i).alias("p"), (acc["c"] + acc["p"] * mean / i).alias("c"), i.alias("n")))
+    return F.aggregate(F.sequence(F.lit(1), far), start, step, lambda acc: acc["n"])
+
+
+def log_normal(u: Column, v: Column, median: Column, sigma: Column) -> Column:
+    """A log-normal number from two uniform draws."""
+    return median * F.exp(sigma * F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v))
+
+
+def in_burst(second: Column, every_s: int, length_s: int) -> Column:
+    """Whether a second lies in a burst: the first `length_s` of each `every_s`; never where either is 0."""
+    return (F.pmod(second, F.lit(every_s)) < length_s) if every_s > 0 and length_s > 0 else F.lit(False)
+
+
+def visits(lots: DataFrame, start_us: int, minutes: int, seed: int = 1, burst_every_s: int = 0, burst_s: int = 0, burst_factor: float = 3.0, least_stay_s: float = 60) -> DataFrame:
+    """Visits of slots: (`lot_id`, `slot`, `visit`, `arrives_us`, `leaves_us`, `cut_short`).
+
+    Arrivals of a lot's minute are a Poisson number whose mean keeps the lot at its curve (capacity times
+    demand over mean stay, more in bursts); each takes a drawn slot at a drawn instant and stays for a
+    log-normal time. A slot's scheduled departure only counts while its visit is the current one: where
+    the next visit comes first, the car before it left a second earlier and its own departure is void.
+    `lots` has `lot_id`, `personality` and `capacity`.
+    """
+    m = lots.select("lot_id", "personality", "capacity").withColumn("minute", F.explode(F.sequence(F.lit(0), F.lit(minutes - 1))))
+    ts = F.lit(start_us) + F.col("minute").cast("bigint") * 60_000_000
+    m = m.withColumns({"at": ts, "hour": F.pmod(ts, F.lit(86_400_000_000)) / 3.6e9, "weekend": F.weekday(F.timestamp_micros(ts)) >= 5})
+    m = demand.target(m, "personality", "weekend", "hour").filter("target is not null")
+    busy = F.when(in_burst(F.col("minute") * 60, burst_every_s, burst_s), burst_factor).otherwise(1.0)
+    mean = F.col("capacity") * F.col("target") * 60 / demand.mean_stay(F.col("personality")) * busy
+    m = m.withColumns({"_mean": mean, "_u": draw(seed, "lot_id", "minute", F.lit("n"))}).filter("_u >= exp(-_mean)")  # the others have no arrival
+    m = m.repartition("lot_id", "minute").withColumn("n", poisson(F.col("_u"), F.col("_mean")))
+    x = m.withColumn("k", F.explode(F.sequence(F.lit(1), "n")))
+    one = lambda what: draw(seed, "lot_id", "minute", "k", F.lit(what))
+    stay = F.greatest(F.lit(float(least_stay_s)), log_normal(one("u"), one("v"), demand.median_stay(F.col("personality")), demand.sigma_stay(F.col("personality"))))
+    x = x.select(
+        "lot_id", F.floor(one("slot") * F.col("capacity")).cast("int").alias("slot"), (F.col("at") + F.floor(one("at") * 60) * 1_000_000).alias("arrives_us"), F.floor(stay).alias("stay_s"),
+        F.concat_ws("-", "minute", "k").alias("visit"),
+    )
+    x = x.withColumn("next", F.lead("arrives_us").over(Window.partitionBy("lot_id", "slot").orderBy("arrives_us", "visit")))  # visits of one slot: few
+    leaves = F.col("arrives_us") + F.col("stay_s") * 1_000_000
+    void = F.coalesce(F.col("next") <= leaves, F.lit(False))
+    left = F.when(void, F.greatest(F.col("arrives_us"), F.col("next") - 1_000_000)).otherwise(leaves)
+    return x.select("lot_id", "slot", "visit", "arrives_us", left.alias("leaves_us"), void.alias("cut_short"))
+
+
+def visit_events(v: DataFrame, start_us: int, every_us: int = 60_000_000, until_us: int | None = None) -> DataFrame:
+    """Reports of visits, OCCUPIED at their arrival and FREE when they leave, and a heartbeat of every visited slot each `every_us` up to `until_us`."""
+    sid = F.format_string("A-%03d", F.col("slot") + 1)
+    event = lambda kind, status, ts, tok: v.select("lot_id", sid.alias("slot_id"), F.concat(F.lit("S-"), sid).alias("sensor_id"), F.lit(kind).alias("event_type"), F.lit(status).cast("string").alias("status"), tok.alias("vehicle_token"), F.timestamp_micros(ts).alias("event_ts"))
+    none = F.lit(None).cast("string")
+    out = event("OCCUPANCY", "OCCUPIED", F.col("arrives_us"), token(F.col("lot_id"), sid, F.col("visit"))).unionByName(event("OCCUPANCY", "FREE", F.col("leaves_us"), none).filter("event_ts is not null"))
+    if until_us is None:
+        return out
+    beats = v.select("lot_id", "slot").distinct().withColumn("at", F.explode(F.sequence(F.lit(start_us), F.lit(until_us - 1), F.lit(every_us))))
+    beats = beats.select("lot_id", sid.alias("slot_id"), F.concat(F.lit("S-"), sid).alias("sensor_id"), F.lit("HEARTBEAT").alias("event_type"), none.alias("status"), none.alias("vehicle_token"), F.timestamp_micros("at").alias("event_ts"))
+    return out.unionByName(beats)
+
+
+def in_order_of_release(log: DataFrame) -> DataFrame:
+    """A log with `delay_s` (see `with_faults`) and `event_ts` in the order its rows are sent: event time plus delay, then position."""
+    return log.withColumn("released_at", F.timestamp_micros(F.unix_micros("event_ts") + F.floor(F.col("delay_s") * 1e6).cast("bigint"))).orderBy("released_at", "partition", "offset")
 
 
 def token(*parts: Column, salt: str = "tidelot") -> Column:
@@ -80,7 +149,7 @@ def with_faults(log: DataFrame, late_pct: float = 0, duplicate_pct: float = 0, m
     late = chance(0) < late_pct
     base = kept.select("*", F.when(late, low + draw(seed + 9, F.col("partition"), F.col("offset")) * (high - low)).otherwise(0.0).alias("delay_s"), F.when(late, "late").alias("fault"))
     twice = kept.filter(chance(1) < duplicate_pct).select("*", F.lit(0.0).alias("delay_s"), F.lit("duplicate").alias("fault"))
-    kind = F.pmod(F.xxhash64("partition", "offset", F.lit(seed)), F.lit(len(BREAKAGES)))
+    kind = F.floor(draw(seed + 5, "partition", "offset") * len(BREAKAGES))
     text = F.col("value").cast("string")
     ways = [
         F.substring(text, 1, 40), F.replace(text, F.lit('"lot_id"'), F.lit('"lot"')), F.regexp_replace(text, '"status":("[A-Z]+"|null)', '"status":"BROKEN"'),
