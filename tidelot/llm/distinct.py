@@ -6,7 +6,7 @@ are the elementwise minimum, so partial sketches merge in any order and repeated
 change nothing. The registers' sum is Gamma(k, rate n): (k - 1) / sum is an unbiased count with
 relative standard error 1 / sqrt(k - 2), and gamma quantiles over the sum bound n.
 
-Rows with a null key or identifier are left out; a group without rows has no sketch. One distinct
+Rows with a null identifier are left out; null keys form groups of their own; a group without rows has no sketch. One distinct
 identifier, or a billion, take the same k registers. Each task folds its rows into at most
 `MAX_OPEN` groups before anything is shuffled.
 """
@@ -78,7 +78,7 @@ def sketch(df: DataFrame, keys: list[str], identifier: str, k: int = 1024) -> Da
     """One mergeable sketch per group: (`keys`, `registers`). `identifier` is hashed to 64 bits JVM-side."""
     if k < 3:
         raise ValueError("k must be at least 3")
-    rows = df.filter(" and ".join(f"`{c}` is not null" for c in [*keys, identifier])).select(*keys, F.xxhash64(identifier).alias("_h"))
+    rows = df.filter(F.col(identifier).isNotNull()).select(*keys, F.xxhash64(identifier).alias("_h"))
     schema = _arrow_schema(rows, keys)
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,24 +87,21 @@ def sketch(df: DataFrame, keys: list[str], identifier: str, k: int = 1024) -> Da
             if not b.num_rows:
                 continue
             code = np.zeros(b.num_rows, np.int64)
-            parts = []
             for i in range(len(keys)):
                 d = b.column(i).dictionary_encode()
-                parts.append(d.dictionary.to_pylist())
-                code = code * len(d.dictionary) + d.indices.to_numpy(zero_copy_only=False)
+                code = code * (len(d.dictionary) + 1) + d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False)
+                code = np.unique(code, return_inverse=True)[1]  # never above the number of rows
             h = b.column(len(keys)).to_numpy(zero_copy_only=False)
-            pairs = np.unique(np.rec.fromarrays([code, h]))
+            pairs, where = np.unique(np.rec.fromarrays([code, h]), return_index=True)
             code, h = pairs["f0"], pairs["f1"]
             for at in range(0, len(h), 2048):
                 c = code[at : at + 2048]
                 starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
                 least = np.minimum.reduceat(exponentials(h[at : at + 2048], k), starts, axis=0)
-                for row, s in enumerate(starts):
-                    key, rest = [], int(c[s])
-                    for p in reversed(parts):
-                        rest, i = divmod(rest, len(p))
-                        key.append(p[i])
-                    groups.fold(tuple(reversed(key)), least[row])
+                shown = pa.array(where[at + starts])
+                names = list(zip(*(b.column(i).take(shown).to_pylist() for i in range(len(keys))), strict=True)) if keys else [()] * len(starts)
+                for row, key in enumerate(names):
+                    groups.fold(key, least[row])
                 if len(groups.open) > MAX_OPEN:
                     yield groups.flush()
         yield groups.flush()
@@ -131,7 +128,7 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     salted = local.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(FAN)))
     wide = salted.repartition(*keys, "_salt").sortWithinPartitions(*keys).drop("_salt").mapInArrow(combine, ddl)
     if not keys:
-        return wide.coalesce(1).mapInArrow(combine, ddl)
+        return wide.repartition(1).mapInArrow(combine, ddl)  # at most FAN rows
     return wide.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(combine, ddl)
 
 

