@@ -33,12 +33,19 @@ def test_merge_of_parts_equals_the_whole(spark):
 
 def test_nulls_empty_and_parameters(spark):
     df = spark.createDataFrame([("a", None), (None, "x")], "k string, v string")
-    assert distinct.sketch(df, ["k"], "v", 8).count() == 0
+    assert [r["k"] for r in distinct.sketch(df, ["k"], "v", 8).collect()] == [None]  # a null key is a group, a null identifier is nothing
     assert distinct.sketch(df.limit(0), ["k"], "v", 8).count() == 0
     with pytest.raises(ValueError):
         distinct.sketch(df, ["k"], "v", 2)
 
 
+def test_many_keys_of_many_values(spark):
+    keys = [f"k{i}" for i in range(8)]
+    df = spark.range(5000).select(*((F.col("id") * (i + 1)).alias(k) for i, k in enumerate(keys)), F.lit("x").alias("v"))
+    got = distinct.sketch(df, keys, "v", 4)
+    assert got.count() == 5000 and got.filter("k1 <> 2 * k0 or k7 <> 8 * k0").count() == 0
+
+
 def test_more_groups_than_a_task_holds_open(spark, monkeypatch):
     df = spark.range(20_000).select((F.col("id") % 9000).alias("k"), F.lit("x").alias("v"))
     assert distinct.sketch(df, ["k"], "v", 4).count() == 9000

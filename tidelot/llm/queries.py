@@ -91,9 +91,9 @@ def p7_near_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_near_cost(spark: SparkSession, d: str) -> DataFrame:
-    """Least total cost of each sensor's segmentation, with its runs and events."""
+    """Least total cost of each sensor's segmentation (of several with that cost one is chosen), and its events."""
     r = sensor_runs(spark, d, mismatch=1.0, penalty=1.5).groupBy("lot_id", "sensor_id")
-    return r.agg(F.sum(F.col("cost") + 1.5).alias("total_cost"), F.count(F.lit(1)).alias("n_runs"), F.sum("n_events").alias("n_events"))
+    return r.agg(F.sum(F.col("cost") + 1.5).alias("total_cost"), F.sum("n_events").alias("n_events"))
 
 
 def _texts(spark: SparkSession, d: str, *cols: str) -> DataFrame:
