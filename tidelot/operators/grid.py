@@ -1,9 +1,10 @@
 """Irregular readings onto a regular grid.
 
 Readings are reduced to one row per source and cell before any shuffle of rows, then to one row
-per source and time shard that holds the shard's cells (at most shard / cell of them). First and
-last cells of the shards are propagated by a prefix scan over those summaries; every shard then
-fills its own cells independently, so one source with any number of readings is shared out.
+per source and time shard that holds the shard's cells (at most shard / cell of them). The last
+reading before a shard and the place of the next are propagated by a prefix scan over those
+summaries; every shard, those without a reading included, then fills its own cells independently, so
+one source with any number of readings or any length of silence is shared out.
 
 Readings with a null key or time are left out. Of equal times in a cell the greatest value is the
 cell's last one. A null value is a reading whose value is unknown. Empty input, empty output.
@@ -47,12 +48,16 @@ def to_grid(
     if within_us is not None:
         shards = shards.withColumn("_period", cell_of("_shard", within_us // shard_us))
     scan = Window.partitionBy(*scope).orderBy("_shard")
-    # The carry across silent shards: where the series goes on after this shard's last cell.
-    shards = shards.withColumn("_until", F.lead("_first").over(scan))
-    # Each reading fills up to the next one of its shard; the shard's last fills up to the next shard's first.
-    following = F.expr("transform(_cells, (x, i) -> struct(x.c as c, x.n as n, x.v as v, coalesce(get(_cells, i + 1).c, _until, x.c + 1) as nxt))")
-    each = shards.select(*keys, F.explode(following).alias("x")).select(*keys, "x.*")
-    filled = each.select(*keys, F.col("c").alias("_from"), "n", "v", F.explode(F.sequence("c", F.col("nxt") - 1)).alias("cell"))
+    # The prefix scan: what a shard takes over from before it, and whether and where the series goes on.
+    shards = shards.withColumns({"_taken": F.lag("_lastc").over(scan), "_next": F.lead("_shard").over(scan)})
+    # A stretch: cells from `a` up to `z` that show reading `c`. A shard's readings fill up to the next one or, if the series goes on, its end.
+    own = F.expr(f"transform(_cells, (x, i) -> struct(x.c as c, x.n as n, x.v as v, x.c as a, coalesce(get(_cells, i + 1).c, if(_next is null, x.c + 1, (_shard + 1) * {per}L)) as z))")
+    lead_in = F.expr(f"if(_taken is null, array(), array(struct(_taken.c as c, _taken.n as n, _taken.v as v, _shard * {per}L as a, _first as z)))")
+    heard = shards.select(*keys, F.explode(F.concat(lead_in, own)).alias("x")).select(*keys, "x.*")
+    # Shards without a reading are rows of their own and fill themselves wherever they are sent.
+    mute = shards.filter(F.col("_next") > F.col("_shard") + 1).select(*keys, F.col("_lastc").alias("x"), F.explode(F.expr("sequence(_shard + 1, _next - 1)")).alias("_shard"))
+    mute = mute.repartition(*keys, "_shard").select(*keys, "x.c", "x.n", "x.v", (F.col("_shard") * per).alias("a"), ((F.col("_shard") + 1) * per).alias("z"))
+    filled = heard.unionByName(mute).filter("z > a").select(*keys, F.col("c").alias("_from"), "n", "v", F.explode(F.sequence("a", F.col("z") - 1)).alias("cell"))
     silent = F.col("cell") != F.col("_from")
     return filled.select(
         *keys,
