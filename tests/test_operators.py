@@ -67,6 +67,13 @@ def test_long_interval_covers_inner_ones(spark):
     assert rows_of(intervals.merge_intervals(df, "k", F.col("a"), F.col("b"), 10), "k", "s", "e") == [("a", 3, 1020)]
 
 
+def test_an_end_far_in_the_future_is_one_span(spark):
+    far = 10**15
+    df = spark.createDataFrame([("a", 5, far), ("a", 12, 13), ("a", far - 3, far + 2), ("a", far + 9, far + 10), ("b", 1, 2)], "k string, a bigint, b bigint")
+    p = intervals.merge_intervals(df, "k", F.col("a"), F.col("b"), 10)
+    assert rows_of(p, "k", "s", "e") == [("a", 5, far + 2), ("a", far + 9, far + 10), ("b", 1, 2)]
+
+
 def test_intervals_empty(spark):
     df = spark.createDataFrame([], "k string, a bigint, b bigint")
     p = intervals.merge_intervals(df, "k", F.col("a"), F.col("b"))
@@ -383,16 +390,24 @@ def test_closed_is_final(spark):
     assert rows_of(upserts.insert_missing(stored, df.filter("window_start = 2"), ["lot_id", "window_start"], [F.col("at")]), "window_start", "at") == [(1, 5), (2, 3)]
 
 
-@pytest.mark.parametrize(
-    ("series", "edges"),
-    [([80, 89, 90, 88, 86, 87, 85, 84], [(2, "RAISED"), (6, "CLEARED")]), ([90, 89, 90, 88, 91, 86, 90, 87], [(0, "RAISED")])],
-)
-def test_hysteresis(spark, series, edges):
-    df = spark.createDataFrame([("a", i, v / 100, i // 3) for i, v in enumerate(series)], "k string, q int, f double, shard int")
+def test_hysteresis(spark):
+    rng, data, want = random.Random(11), [], []
+    for k in range(60):
+        level, up = rng.randint(60, 100), False
+        for q in range(rng.randint(0, 40)):
+            level = min(100, max(60, level + rng.randint(-7, 7)))
+            data.append((f"k{k}", q, level / 100, q // 5))
+            if (level >= 90) != up and not 85 < level < 90:
+                up = not up
+                want.append((f"k{k}", q, "RAISED" if up else "CLEARED"))
+    df = spark.createDataFrame(data, "k string, q int, f double, shard int")
     got = alerts.hysteresis(df, "k", "q", ["q"], "f", shard="shard")
-    assert rows_of(got, "q", "state") == edges
-    pairs = alerts.pair_edges(got, "k", "q", ["q"]).collect()
-    assert [(p["raised_at"], p["cleared_at"]) for p in pairs] == [(edges[0][0], edges[1][0] if len(edges) > 1 else None)]
+    assert len(want) > 20 and rows_of(got, "k", "q", "state") == sorted(want)
+    pairs = rows_of(alerts.pair_edges(got, "k", "q", ["q"]).fillna(-1), "k", "raised_at", "cleared_at")
+    nxt = {(k, q): next((q2 for k2, q2, s2 in sorted(want) if k2 == k and q2 > q), -1) for k, q, s in want if s == "RAISED"}
+    assert pairs == sorted((k, q, e) for (k, q), e in nxt.items())
+    with pytest.raises(ValueError):
+        alerts.hysteresis(df, "k", "q", ["q"], "f", 0.8, 0.9)
 
 
 def test_latches_are_restored_from_their_log(spark):

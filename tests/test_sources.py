@@ -1,10 +1,12 @@
 """Records, files, generators and functions."""
 
+import contextlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidelot.functions import demand, numbers, partitioning
-from tidelot.sources import generate, logs, records, snapshots
+from tidelot.sources import generate, logs, records, reports, snapshots
 
 GOOD = '{"event_id":"e1","event_type":"OCCUPANCY","sensor_id":"S","lot_id":"L","slot_id":"A","status":"OCCUPIED","vehicle_token":"t","event_ts":"2026-01-01T10:00:00.000Z","ingest_ts":"2026-01-01T10:00:01+05:30"}'
 BAD = [
@@ -127,3 +129,44 @@ def test_visits_of_a_slot_do_not_overlap_and_stale_departures_are_void(spark):
 def test_release_order(spark):
     log = spark.createDataFrame([(0, 1, 10, 5.0), (0, 2, 11, 0.0), (0, 3, 12, 0.0)], "partition int, offset bigint, t bigint, delay_s double").withColumn("event_ts", F.timestamp_seconds("t"))
     assert [r["offset"] for r in generate.in_order_of_release(log).collect()] == [2, 3, 1]
+
+
+def test_sensors_fall_silent_from_an_instant_on(spark):
+    e = spark.createDataFrame([("L1", "s", 1), ("L1", "s", 9), ("L2", "s", 9), ("L2", "t", 9), (None, None, 9)], "lot_id string, sensor_id string, t bigint").withColumn("event_ts", F.timestamp_micros("t"))
+    left = lambda specs, after=0: generate.without_sensors(e, specs, after).count()
+    assert (left([]), left(["s"]), left(["L1:s"]), left(["L1:s"], 5), left(["L9:s", "t"])) == (5, 2, 3, 4, 4)
+
+
+def test_reports_and_senders(spark, tmp_path):
+    log = spark.createDataFrame([("late", 0), (None, 0), (None, 1)], "fault string, partition int")
+    r = reports.run_summary(log)
+    assert r.first().asDict() == {"messages": 3, "by_fault": {"late": 1, "none": 2}, "by_partition": {"0": 2, "1": 1}}
+    reports.write_json(r, str(tmp_path / "j"))
+    reports.write_csv(log, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "j")).first()["messages"] == 3 and spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
+    said, posted = [], []
+    reports.console_sender(said.append)([{"state": "RAISED", "kind": "FULL_LOT", "lot_id": "L", "message": "m"}])
+
+    @contextlib.contextmanager
+    def opened(req, timeout):
+        posted.append((req.full_url, req.data, timeout))
+        yield
+
+    reports.webhook_sender("http://x/y", 2, opened)([{"a": 1}])
+    assert said == ["RAISED FULL_LOT L: m"] and posted == [("http://x/y", b'[{"a": 1}]', 2)]
+
+
+def test_scratch_on_a_cluster_must_be_shared(spark, monkeypatch):
+    from tidelot import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_dir(Session(), "x")

@@ -9,7 +9,7 @@ from tidelot.functions.timing import SECOND_US as S
 from tidelot.operators import occupancy as o
 from tidelot.operators.sessions import SessionTable
 from tidelot.streaming import processor as pr
-from tidelot.streaming import sinks
+from tidelot.streaming import progress, sinks
 
 T = 300 * 5_000_000 * S  # a window border
 P = o.Params()
@@ -158,6 +158,25 @@ def test_stream_restarts_and_agrees_with_the_set(spark, tmp_path):
     assert [r["seq"] for r in spark.read.parquet(side + "/late").collect()] == [13]
 
 
+def test_progress_is_a_table(spark, tmp_path):
+    import time
+
+    seen = progress.ProgressLog()
+    spark.streams.addListener(seen)
+    try:
+        spark.range(5).write.parquet(str(tmp_path / "in"))
+        q = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.queryName("counted").format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        for _ in range(100):
+            if seen.ended:
+                break
+            time.sleep(0.1)
+        rows = seen.frame(spark).filter("query = 'counted'").agg(F.sum("rows")).first()
+    finally:
+        spark.streams.removeListener(seen)
+    assert rows[0] == 5 and seen.started == seen.ended == 1
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     w = sinks.window_table(spark, str(tmp_path / "w"))
     row = lambda area, closed: ("L", T, area, 300, 0, 1, 0, 0, None, closed, None)

@@ -38,6 +38,15 @@ def rounded_ratio(part: Column, whole: Column, digits: int) -> Column:
     return (q + up.cast("int")) / 10**digits
 
 
+def line_heights(values: Column, height: int = 24, pad: int = 3, least_range: int = 1000) -> Column:
+    """Heights, in tenths, at which a small line chart shows `values` (an array of whole numbers, newest last): the range is at least `least_range`, centred on the values, and starts at 0 or above."""
+    lo, hi = F.array_min(values), F.array_max(values)
+    span = F.greatest(hi - lo, F.lit(least_range))  # twice the half range
+    low = F.greatest(F.lit(0), lo + hi - span)  # twice the least value shown
+    inside = lambda v: F.greatest(F.lit(0), F.least(2 * v - low, 2 * span))
+    return F.transform(values, lambda v: F.floor(10 * (height - pad) - inside(v) * (10 * (height - 2 * pad)) / (2 * span) + 0.5))
+
+
 def nan_to_null(c: str | Column) -> Column:
     return F.when(~F.isnan(_col(c)), _col(c))
 

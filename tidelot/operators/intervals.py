@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelot.functions.timing import HOUR_US, cell_of
+from tidelot.operators import scans
+from tidelot.session import materialise
 
 
 def _islands(df: DataFrame, by: list[str], start: str = "s", end: str = "e") -> DataFrame:
@@ -29,9 +31,10 @@ def _islands(df: DataFrame, by: list[str], start: str = "s", end: str = "e") ->
 def merge_intervals(df: DataFrame, entity: str, start: Column, end: Column, shard_us: int = 6 * HOUR_US) -> DataFrame:
     """Maximal covered periods: (`entity`, `s`, `e`).
 
-    An interval sends its first and last shard as pieces. The whole shards between them are first
-    collapsed to the furthest reach per (entity, first whole shard) and merged, and only then
-    listed, so that many long intervals do not list the same shards again and again.
+    An interval sends its first and last shard as pieces. The whole shards between them stay one span,
+    however long: spans are collapsed to the furthest reach per (entity, first whole shard) and merged
+    with the pieces that touch shard borders; pieces inside of shards that a span covers are dropped,
+    found by a running maximum of the spans' reach.
     """
     if shard_us <= 0:
         raise ValueError("shard_us must be positive")
@@ -50,12 +53,13 @@ def merge_intervals(df: DataFrame, entity: str, start: Column, end: Column, shar
         ).alias("p"),
     ).select("k", "p.*")
     spans = base.filter(F.col("b") > F.col("a") + 1).groupBy("k", (F.col("a") + 1).alias("s")).agg(F.max("b").alias("e"))
-    whole = _islands(spans, ["k"]).select("k", F.explode(F.sequence("s", F.col("e") - 1)).alias("shard"))
-    whole = whole.select("k", "shard", (F.col("shard") * shard_us).alias("s"), ((F.col("shard") + 1) * shard_us).alias("e"))
-    local = _islands(ends.unionByName(whole), ["k", "shard"])
     touches = (F.col("s") == F.col("shard") * shard_us) | (F.col("e") == (F.col("shard") + 1) * shard_us)
-    inner = local.filter(~touches).select("k", "s", "e")
-    border = _islands(local.filter(touches).select("k", "s", "e"), ["k"])
+    local = _islands(ends, ["k", "shard"]).select("k", "s", "e", F.col("shard").alias("at"), F.lit(None).cast("bigint").alias("reach"), touches.alias("border"))
+    whole = _islands(spans, ["k"]).select("k", (F.col("s") * shard_us).alias("s"), (F.col("e") * shard_us).alias("e"), F.col("s").alias("at"), F.col("e").alias("reach"), F.lit(True).alias("border"))
+    pieces = materialise(whole.unionByName(local).withColumn("block", cell_of("at", 1024)), "interval-pieces")
+    inner = scans.scan(pieces.filter("not border or reach is not null"), ["k"], "block", ["at", "s", "e"], tops={"covered": "reach"}).filter("not border")
+    inner = inner.filter(F.col("covered").isNull() | (F.col("covered") <= F.col("at"))).select("k", "s", "e")
+    border = _islands(pieces.filter("border").select("k", "s", "e"), ["k"])
     return inner.unionByName(border).select(F.col("k").alias(entity), "s", "e")
 
 

@@ -13,8 +13,8 @@ from tidelot.operators import metrics, validation
 from tidelot.operators.messages import canonical_id, canonical_word
 from tidelot.plans.reads import stored_windows
 from tidelot.plans.stream_core import VALID_SQL
-from tidelot.sources import generate, records, snapshots
-from tidelot.session import table
+from tidelot.session import scratch_dir, table
+from tidelot.sources import generate, logs, records, snapshots
 
 #: A report that took longer than this to arrive counts as late in log statistics.
 LATE_US = 15 * SECOND_US
@@ -137,6 +137,27 @@ def load_test_row(spark: SparkSession, d: str) -> DataFrame:
     return metrics.load_row(samples, "partition", 1.0, 2.0)
 
 
+DROPPED = ["LOT-08:S-B-017", "S-A-002"]
+
+
+def dropped_sensors(spark: SparkSession, d: str) -> DataFrame:
+    """Rows left by lot when one sensor of a lot and one name in all lots fall silent."""
+    x = generate.without_sensors(_events(spark, d).filter("lot_id is not null"), DROPPED)
+    return x.groupBy("lot_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def log_tail(spark: SparkSession, d: str) -> DataFrame:
+    """What each partition of a log kept as files still has to be read of, between a common end and where its lots have been applied to: every lot up to its row of the middle batch."""
+    log = _events(spark, d).filter("lot_id is not null and kafka_partition is not null and kafka_offset is not null")
+    middle = log.agg(F.floor((F.min("batch_no") + F.max("batch_no")) / 2).alias("b")).select("b").scalar()
+    states = log.filter(F.col("batch_no") <= middle).groupBy("lot_id").agg((F.max("kafka_offset") + 1).alias("resume_offset"), F.first("kafka_partition").alias("partition"))
+    path = scratch_dir(spark, "log")
+    _encoded(spark, d).withColumn("timestamp", F.lit(None).cast("timestamp")).select("key", "value", "partition", "offset", "timestamp").write.parquet(path)
+    start = {r["partition"]: r["resume"] for r in logs.resume_offsets(states).collect()}  # a row per partition
+    tail = logs.read_log(spark, path, start=start).filter("key is not null").withColumn("lot_id", F.col("key").cast("string"))
+    return logs.not_applied(tail, states, "lot_id").groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.min("offset").alias("first"))
+
+
 def newest_arrivals(spark: SparkSession, d: str) -> DataFrame:
     """The newest three rows of each partition by arrival."""
     e = _events(spark, d).filter("ingest_ts is not null").select("kafka_partition", "kafka_offset", F.unix_micros("ingest_ts").alias("at_us"))
@@ -245,6 +266,11 @@ select lot_id, cast((a - {VISITS_FROM}) // 3600000000 as bigint) as hour, count(
 t as (select partition, min(h) as lo, max(h) as hi, sum(n) as total, arg_max(n, h) as last from p group by partition)
 select partition, cast(total as bigint) as delivered, total / ((hi - lo) * 3600) as produced_per_s, total / ((hi + 1 - lo) * 3600) as sustained_per_s, (select max(n) from p where p.partition = t.partition) as peak_backlog,
   last as end_backlog, cast(3600 as bigint) as drain_s, last > 2.0 as saturated from t""",
+    "dropped_sensors": """select lot_id, count(*) as n from parking_events where lot_id is not null
+  and not coalesce((sensor_id = 'S-B-017' and lot_id = 'LOT-08') or sensor_id = 'S-A-002', false) group by lot_id""",
+    "log_tail": """with l as (select lot_id, kafka_partition as p, kafka_offset as o, batch_no from parking_events where lot_id is not null and kafka_partition is not null and kafka_offset is not null),
+s as (select lot_id, max(o) + 1 as resume from l where batch_no <= (select floor((min(batch_no) + max(batch_no)) / 2) from l) group by lot_id)
+select p as partition, count(*) as n, min(o) as first from l left join s using (lot_id) where resume is null or o >= resume group by p""",
     "newest_arrivals": """select kafka_partition, kafka_offset, epoch_us(ingest_ts) as at_us from parking_events where ingest_ts is not null
 qualify row_number() over (partition by kafka_partition order by ingest_ts desc, kafka_offset desc) <= 3""",
     "lenient_slot_events": f"""with {VALID_SQL} select lot_id, st as status, count(*) as n, max(epoch_us(event_ts) // 1000 * 1000) as newest from reasons
@@ -273,7 +299,7 @@ select lot_id, cast((xor(h, h >> 15) & 2147483647) % 6 as int) as partition from
 QUERIES = {
     f.__name__: f
     for f in (
-        topic_stats, partition_depth, silent_sensors, lag_by_group, rate_from_offsets, counter_increase, histogram_quantile, rebalance_detect, dlq_validate, fault_counts, visits_generated, load_test_row, newest_arrivals, lenient_slot_events,
+        topic_stats, partition_depth, silent_sensors, lag_by_group, rate_from_offsets, counter_increase, histogram_quantile, rebalance_detect, dlq_validate, fault_counts, visits_generated, load_test_row, newest_arrivals, dropped_sensors, log_tail, lenient_slot_events,
         compacted_metadata, replay_deltas, demand_interpolate, partition_murmur2, partition_skew,
     )
 }

@@ -81,6 +81,12 @@ def sparkline_topn(spark: SparkSession, d: str, points: int = 24) -> DataFrame:
     return lists.select("lot_id", F.array_join(F.transform(newest, lambda x: x["v"].cast("string")), ",").alias("spark"))
 
 
+def sparkline_heights(spark: SparkSession, d: str) -> DataFrame:
+    """The same points as heights of a line chart, where there are two or more."""
+    x = sparkline_topn(spark, d).select("lot_id", F.split("spark", ",").cast("array<bigint>").alias("v")).filter(F.size("v") > 1)
+    return x.select("lot_id", F.array_join(num.line_heights(F.col("v")).cast("array<string>"), ",").alias("heights"))
+
+
 def stats_24h(windows: DataFrame) -> DataFrame:
     """Per lot, over the 24 hours up to its newest window: flows, occupied seconds and the newest closed estimate."""
     last = windows.groupBy("lot_id").agg(F.max("window_start").alias("last"), F.max_by("unique_vehicles_est", F.when(F.col("closed"), F.col("window_start"))).alias("unique_now"))
@@ -323,6 +329,11 @@ select batch, lot_id, window_start, closed, emitted_at, avg_occupied from r wher
     "sparkline_topn": f"""with {_WINDOWS},
 r as (select *, row_number() over (partition by lot_id order by window_start desc) as k from windows where window_start > (select max(window_start) from windows) - 172800000000)
 select lot_id, string_agg(cast(cast(floor(avg_occupancy_pct * 100 + 0.5) as bigint) as varchar), ',' order by window_start) as spark from r where k <= 24 group by lot_id""",
+    "sparkline_heights": f"""with {_WINDOWS},
+r as (select *, row_number() over (partition by lot_id order by window_start desc) as k from windows where window_start > (select max(window_start) from windows) - 172800000000),
+p as (select lot_id, window_start, cast(floor(avg_occupancy_pct * 100 + 0.5) as bigint) as v from r where k <= 24),
+b as (select lot_id, greatest(max(v) - min(v), 1000) as span, greatest(0, min(v) + max(v) - greatest(max(v) - min(v), 1000)) as low, count(*) as n from p group by lot_id)
+select lot_id, string_agg(cast(cast(floor(210 - least(2 * v - low, 2 * span) * 180 / (2 * span) + 0.5) as bigint) as varchar), ',' order by window_start) as heights from p join b using (lot_id) where n > 1 group by lot_id""",
     "lot_stats_24h": f"with {_STATS} select * from stats",
     "dwell_littles_law": f"""with {_STATS} select lot_id, case when entries > 0 and occupied_milliseconds > 0
   then cast(floor(occupied_milliseconds / entries / 60000 * 10 + 0.5) as bigint) end as dwell_tenths from stats""",
@@ -393,7 +404,7 @@ from lots left join s using (lot_id) where lots.lot_id = 'LOT-07'""",
 QUERIES = {
     f.__name__: f
     for f in (
-        upsert_closed_final, batch_collapse, latest_per_lot, latest_per_lot_lateral, sparkline_topn, lot_stats_24h, dwell_littles_law, rank_lots, system_totals, lot_labels, hourly_rollup,
+        upsert_closed_final, batch_collapse, latest_per_lot, latest_per_lot_lateral, sparkline_topn, sparkline_heights, lot_stats_24h, dwell_littles_law, rank_lots, system_totals, lot_labels, hourly_rollup,
         history_page, history_hourly, alerts_page, active_alerts, full_since, alert_lifecycle, alert_hysteresis, slot_snapshot, live_overlay, overview, overview_totals, lot_detail, truth_compare, full_lot_alerts, alert_restore,
     )
 }

@@ -137,6 +137,16 @@ def load(spark: SparkSession, rate: int, lots: int = 12, slots: int = 200, strea
     )
 
 
+def without_sensors(events: DataFrame, specs: list[str], after_us: int = 0) -> DataFrame:
+    """Events of a log from which some sensors fall silent at `after_us`: each of `specs` is a sensor, or a lot and its sensor parted by a colon."""
+    gone = F.lit(False)
+    for spec in specs:
+        lot, _, sensor = spec.rpartition(":")
+        c = F.col("sensor_id") == sensor
+        gone = gone | (c & (F.col("lot_id") == lot) if lot else c)
+    return events.filter(~F.coalesce(gone & (F.unix_micros("event_ts") >= after_us), F.lit(False)))
+
+
 def with_faults(log: DataFrame, late_pct: float = 0, duplicate_pct: float = 0, malformed_pct: float = 0, dropped_sensors: list[str] = (), seed: int = 3) -> DataFrame:
     """A log of encoded events (`key`, `value`, `partition`, `offset`, `sensor_id`) with faults; `fault` names what was done to a row.
 
