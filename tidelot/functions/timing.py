@@ -23,3 +23,13 @@ def floor_to(expr: str, width_us: int) -> Column:
     if width_us <= 0:
         raise ValueError("width_us must be positive")
     return F.expr(f"({expr}) - pmod(({expr}), {width_us}L)")
+
+
+def local_hour(micros: str, zone: str) -> Column:
+    """Hour of the day at an instant, in a zone."""
+    return F.hour(F.from_utc_timestamp(F.timestamp_micros(micros), zone))
+
+
+def local_weekday(micros: str, zone: str) -> Column:
+    """Day of the week at an instant, in a zone; Monday is 0. Both need a session in UTC."""
+    return F.weekday(F.from_utc_timestamp(F.timestamp_micros(micros), zone))

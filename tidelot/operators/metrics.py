@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelot.functions.numbers import nan_to_null
 from tidelot.functions.timing import HOUR_US, cell_of
 from tidelot.operators import scans
 
@@ -21,6 +22,24 @@ def lag(committed: DataFrame, ends: DataFrame) -> DataFrame:
     return x.select("group", "partition", F.greatest(F.lit(0), F.col("high") - F.coalesce("committed", "low")).alias("lag"))
 
 
+def with_owner(lags: DataFrame, owners: DataFrame) -> DataFrame:
+    """Lags with the member of the group that owns the partition (`group`, `partition`, `owner`); null where none does."""
+    return lags.join(owners.select("group", "partition", "owner"), ["group", "partition"], "left")
+
+
+def sum_by(samples: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(`by`, `total`, `n`): the sum of a metric over all series of a group and how many series there are; values that are no numbers count as missing."""
+    known = nan_to_null(F.col(value).cast("double"))
+    return samples.groupBy(*by).agg(F.sum(known).alias("total"), F.count(known).alias("n"))
+
+
+def up(samples: DataFrame, target: str, at_us: str, within_us: int) -> DataFrame:
+    """(`target`, `up`): whether each target was heard within `within_us` of the newest sample of all."""
+    last = samples.filter(F.col(at_us).isNotNull()).groupBy(target).agg(F.max(at_us).alias("last"))
+    newest = last.agg(F.max("last")).scalar()
+    return last.select(target, (newest - F.col("last") <= within_us).alias("up"))
+
+
 def rates(samples: DataFrame, key: str, at_us: str, value: str) -> DataFrame:
     """Change per second of a growing value between successive samples of a key, never negative; null for the first."""
     w = Window.partitionBy(key).orderBy(at_us)  # samples of a poller: bounded by time over poll interval

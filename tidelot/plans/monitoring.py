@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelot.functions import demand, partitioning
-from tidelot.functions.timing import HOUR_US, SECOND_US, cell_of
+from tidelot.functions.timing import HOUR_US, SECOND_US, cell_of, local_hour, local_weekday
 from tidelot.operators import metrics, validation
 from tidelot.operators.messages import canonical_id, canonical_word
 from tidelot.plans.reads import stored_windows
@@ -137,6 +137,31 @@ def load_test_row(spark: SparkSession, d: str) -> DataFrame:
     return metrics.load_row(samples, "partition", 1.0, 2.0)
 
 
+def lag_with_owner(spark: SparkSession, d: str) -> DataFrame:
+    """The lag of two groups with the members that own their partitions; the sink's partition 0 has none."""
+    lags = lag_by_group(spark, d)
+    owners = lags.select("group", "partition", F.concat_ws("-", "group", F.pmod("partition", F.lit(2)).cast("string")).alias("owner")).filter("not (`group` = 'sink' and partition = 0)")
+    return metrics.with_owner(lags, owners)
+
+
+def delay_by_lot(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds of arrival delay summed by lot over its sensors' worst, where known."""
+    e = _events(spark, d).filter("lot_id is not null and sensor_id is not null")
+    delay = F.floor((F.unix_micros("ingest_ts") - F.unix_micros("event_ts")) / 1e6).cast("double")
+    worst = e.groupBy("lot_id", "sensor_id").agg(F.max(F.coalesce(delay, F.lit(float("-inf")))).alias("w"))
+    return metrics.sum_by(worst.withColumn("w", F.when(F.col("w") == float("-inf"), float("nan")).otherwise(F.col("w"))), ["lot_id"], "w")
+
+
+def lots_up(spark: SparkSession, d: str) -> DataFrame:
+    """Lots heard within an hour of the log's newest row."""
+    return metrics.up(_events(spark, d).filter("lot_id is not null").select("lot_id", F.unix_micros("ingest_ts").alias("at")), "lot_id", "at", HOUR_US)
+
+
+def reports_by_local_hour(spark: SparkSession, d: str, zone: str = "Asia/Kolkata") -> DataFrame:
+    e = validation.valid_events(_events(spark, d)).select(F.unix_micros("event_ts").alias("ts"))
+    return e.groupBy(local_weekday("ts", zone).alias("weekday"), local_hour("ts", zone).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
 DROPPED = ["LOT-08:S-B-017", "S-A-002"]
 
 
@@ -266,6 +291,15 @@ select lot_id, cast((a - {VISITS_FROM}) // 3600000000 as bigint) as hour, count(
 t as (select partition, min(h) as lo, max(h) as hi, sum(n) as total, arg_max(n, h) as last from p group by partition)
 select partition, cast(total as bigint) as delivered, total / ((hi - lo) * 3600) as produced_per_s, total / ((hi + 1 - lo) * 3600) as sustained_per_s, (select max(n) from p where p.partition = t.partition) as peak_backlog,
   last as end_backlog, cast(3600 as bigint) as drain_s, last > 2.0 as saturated from t""",
+    "lag_with_owner": f"""with {_LOG}, c as (select p, max(o) + 1 as committed from log where batch_no <= 20 group by p),
+g as (select 'processor' as grp, p, committed from c union all select 'sink', p, case when p <> 0 then committed end from c)
+select grp as "group", p as partition, greatest(0, high - coalesce(committed, low)) as lag, case when grp <> 'sink' or p <> 0 then grp || '-' || (p % 2) end as owner from g join ends using (p)""",
+    "delay_by_lot": """with w as (select lot_id, sensor_id, max(floor((epoch_us(ingest_ts) - epoch_us(event_ts)) / 1e6)) as w from parking_events where lot_id is not null and sensor_id is not null group by all)
+select lot_id, sum(w) as total, count(w) as n from w group by lot_id""",
+    "lots_up": """with l as (select lot_id, max(epoch_us(ingest_ts)) as last from parking_events where lot_id is not null and ingest_ts is not null group by lot_id)
+select lot_id, (select max(last) from l) - last <= 3600000000 as up from l""",
+    "reports_by_local_hour": f"""with {VALID_SQL}, t as (select epoch_us(event_ts) + 19800000000 as t from reasons where reason is null)
+select cast((t // 86400000000 + 3) % 7 as int) as weekday, cast(t // 3600000000 % 24 as int) as hour, count(*) as n from t group by all""",
     "dropped_sensors": """select lot_id, count(*) as n from parking_events where lot_id is not null
   and not coalesce((sensor_id = 'S-B-017' and lot_id = 'LOT-08') or sensor_id = 'S-A-002', false) group by lot_id""",
     "log_tail": """with l as (select lot_id, kafka_partition as p, kafka_offset as o, batch_no from parking_events where lot_id is not null and kafka_partition is not null and kafka_offset is not null),
@@ -299,7 +333,8 @@ select lot_id, cast((xor(h, h >> 15) & 2147483647) % 6 as int) as partition from
 QUERIES = {
     f.__name__: f
     for f in (
-        topic_stats, partition_depth, silent_sensors, lag_by_group, rate_from_offsets, counter_increase, histogram_quantile, rebalance_detect, dlq_validate, fault_counts, visits_generated, load_test_row, newest_arrivals, dropped_sensors, log_tail, lenient_slot_events,
+        topic_stats, partition_depth, silent_sensors, lag_by_group, rate_from_offsets, counter_increase, histogram_quantile, rebalance_detect, dlq_validate, fault_counts, visits_generated, load_test_row, newest_arrivals, dropped_sensors, log_tail, lag_with_owner, delay_by_lot,
+        lots_up, reports_by_local_hour, lenient_slot_events,
         compacted_metadata, replay_deltas, demand_interpolate, partition_murmur2, partition_skew,
     )
 }

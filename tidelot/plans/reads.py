@@ -50,6 +50,14 @@ def batch_collapse(spark: SparkSession, d: str) -> DataFrame:
     return upserts.keep_one(w, ["batch", "lot_id", "window_start"], [F.col("closed"), F.col("emitted_at")])
 
 
+def versions_per_window(spark: SparkSession, d: str) -> DataFrame:
+    """Windows that were written more than once: how often, how many different rows, and how often closed."""
+    w = table(spark, d, "lot_occupancy_5min").filter("lot_id is not null and window_start is not null").withColumn("window_start", F.unix_micros("window_start"))
+    per = w.groupBy(*w.columns).agg(F.count(F.lit(1)).alias("copies"))
+    x = per.groupBy("lot_id", "window_start").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("n_different"), F.sum(F.when(F.col("closed"), F.col("copies")).otherwise(0)).alias("n_closed"))
+    return x.filter("n > 1")
+
+
 def latest_windows(windows: DataFrame) -> DataFrame:
     """(`lot_id`, `as_of`, `occupied`): newest window of each lot; the live count, else the rounded average."""
     count = F.coalesce(F.col("current_occupied"), F.bround("avg_occupied").cast("int"))
@@ -59,7 +67,7 @@ def latest_windows(windows: DataFrame) -> DataFrame:
 
 def latest_per_lot(spark: SparkSession, d: str) -> DataFrame:
     """Every lot with its newest window, if it has one."""
-    return _lots(spark, d).join(latest_windows(stored_windows(spark, d)), "lot_id", "left").select("lot_id", "name", "personality", "capacity", "columns", "latitude", "longitude", "as_of", "occupied")
+    return _lots(spark, d).join(latest_windows(stored_windows(spark, d)), "lot_id", "left").select("lot_id", "name", "personality", "capacity", "columns", "latitude", "longitude", "as_of", "occupied").orderBy("lot_id")
 
 
 def latest_per_lot_lateral(spark: SparkSession, d: str) -> DataFrame:
@@ -185,6 +193,12 @@ def alerts_page(spark: SparkSession, d: str, kind: str | None = "FULL_LOT", stat
     return page.select("alert_id", "kind", "lot_id", "status", "raised_at", "cleared_at", seconds.alias("duration_s"), total.alias("total"))
 
 
+def alert_texts(spark: SparkSession, d: str) -> DataFrame:
+    """How long cleared alerts lasted and how full their lot was, as texts."""
+    a = stored_alerts(spark, d).filter("raised_at is not null and cleared_at >= raised_at")
+    return a.select("alert_id", num.duration_text((F.col("cleared_at") - F.col("raised_at")) / 1e6).alias("lasted"), num.percent_text(F.floor(F.col("occupancy_pct") + 0.5)).alias("full"))
+
+
 def active_alerts(spark: SparkSession, d: str) -> DataFrame:
     return alerts_where(stored_alerts(spark, d), status="active").agg(F.count(F.lit(1)).alias("n"))
 
@@ -252,7 +266,9 @@ def lot_detail(spark: SparkSession, d: str, lot_id: str = "LOT-07") -> DataFrame
     w = only(stored_windows(spark, d))
     x = only(_lots(spark, d)).join(latest_windows(w), "lot_id", "left").join(stats_24h(w), "lot_id", "left")
     x = x.join(broadcast_if_small(only(full_since(spark, d))), "lot_id", "left")
-    return x.select("lot_id", "capacity", "as_of", "occupied", num.permille("occupied", "capacity").alias("occupancy_permille"), "entries", "exits", "full_since")
+    minutes = F.col("occupied_milliseconds") / F.col("entries") / 60_000
+    dwell = F.when((F.col("entries") > 0) & (F.col("occupied_milliseconds") > 0), F.floor(minutes * 10 + 0.5))
+    return x.select("lot_id", "capacity", "as_of", "occupied", num.permille("occupied", "capacity").alias("occupancy_permille"), "entries", "exits", dwell.alias("dwell_tenths"), "full_since")
 
 
 def truth_compare(spark: SparkSession, d: str) -> DataFrame:
@@ -394,17 +410,22 @@ select lot_id || '|FULL_LOT|' || (case when state = 'RAISED' then at_us else rai
   'Lot ' || lot_id || case when state = 'RAISED' then ' full: ' else ' has space again: ' end || cast(round_even(pct, 0) as int) || '% (' || current_occupied || '/' || capacity || ' slots)' as message, pct as occupancy_pct from r""",
     "alert_restore": f"""with {_ALERTS}, n as (select *, row_number() over (partition by lot_id order by raised_at desc, alert_id desc) as k from last_alerts where kind = 'FULL_LOT' and raised_at is not null and lot_id is not null)
 select lot_id, alert_id from n where k = 1 and status = 'active'""",
-    "lot_detail": f"""with {_LATEST}, {_ALERTS},
-l as (select lot_id, max(window_start) as last from windows group by lot_id),
-s as (select lot_id, cast(coalesce(sum(entries), 0) as bigint) as entries, cast(coalesce(sum(exits), 0) as bigint) as exits from windows join l using (lot_id) where window_start > last - 86400000000 group by lot_id)
-select lots.lot_id, capacity, as_of, occupied, permille as occupancy_permille, entries, exits, (select max(raised_at) from last_alerts a where a.lot_id = 'LOT-07' and kind = 'FULL_LOT' and status = 'active') as full_since
-from lots left join s using (lot_id) where lots.lot_id = 'LOT-07'""",
+    "lot_detail": f"""with {_LATEST}, {_ALERTS}, {_STATS.removeprefix(_WINDOWS + ",")}
+select lots.lot_id, capacity, as_of, occupied, permille as occupancy_permille, entries, exits,
+  case when entries > 0 and occupied_milliseconds > 0 then cast(floor(occupied_milliseconds / entries / 60000 * 10 + 0.5) as bigint) end as dwell_tenths,
+  (select max(raised_at) from last_alerts a where a.lot_id = 'LOT-07' and kind = 'FULL_LOT' and status = 'active') as full_since from lots left join stats using (lot_id) where lots.lot_id = 'LOT-07'""",
+    "versions_per_window": """with c as (select * exclude (window_start), epoch_us(window_start) as window_start, count(*) as copies from lot_occupancy_5min where lot_id is not null and window_start is not null group by all)
+select lot_id, window_start, cast(sum(copies) as bigint) as n, count(*) as n_different, cast(coalesce(sum(copies) filter (where closed), 0) as bigint) as n_closed from c group by lot_id, window_start having sum(copies) > 1""",
+    "alert_texts": f"""with {_ALERTS.replace("epoch_us(updated_at) as updated_at from v", "epoch_us(updated_at) as updated_at, occupancy_pct from v")},
+s as (select *, (cleared_at - raised_at) // 1000000 as s from last_alerts where raised_at is not null and cleared_at >= raised_at)
+select alert_id, case when s < 60 then s || ' s' when s < 3600 then (s // 60) || ' min' else (s // 3600) || ' h ' || lpad(cast(s % 3600 // 60 as varchar), 2, '0') || ' min' end as lasted,
+  cast(floor(occupancy_pct + 0.5) as bigint) || '%' as full from s""",
 }
 
 QUERIES = {
     f.__name__: f
     for f in (
         upsert_closed_final, batch_collapse, latest_per_lot, latest_per_lot_lateral, sparkline_topn, sparkline_heights, lot_stats_24h, dwell_littles_law, rank_lots, system_totals, lot_labels, hourly_rollup,
-        history_page, history_hourly, alerts_page, active_alerts, full_since, alert_lifecycle, alert_hysteresis, slot_snapshot, live_overlay, overview, overview_totals, lot_detail, truth_compare, full_lot_alerts, alert_restore,
+        history_page, history_hourly, alerts_page, active_alerts, full_since, alert_lifecycle, alert_hysteresis, slot_snapshot, live_overlay, overview, overview_totals, lot_detail, truth_compare, full_lot_alerts, alert_restore, versions_per_window, alert_texts,
     )
 }
