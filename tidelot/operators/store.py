@@ -73,7 +73,8 @@ class VersionedTable:
             df.select(*cols).write.parquet(out)
             return {"": out}
         of = F.coalesce(by.cast("string"), F.raise_error(F.lit(f"a row of {self.root} has no partition")))
-        df.select(*cols, of.alias("_part")).write.partitionBy("_part").parquet(out)
+        # Rebalanced, a partition is a few files however many tasks made it, and a large one is still shared out.
+        df.select(*cols, of.alias("_part")).hint("rebalance", F.col("_part")).write.partitionBy("_part").parquet(out)
         status = self._fs.listStatus(self._path(out))
         names = [f.getPath().getName() for f in status]
         return {n.removeprefix("_part="): f"{out}/{n}" for n in names if n.startswith("_part=")}
