@@ -124,8 +124,8 @@ def p8_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str, targets: DataFrame) -> DataFrame:
-    docs = table(spark, d, "documents").filter("text is not null and source is not null").select("doc_id", "source", "text")
-    docs = spread(docs.join(broadcast_if_small(targets.select("source").distinct()), "source", "left_semi"), "doc_id")
+    docs = spread(table(spark, d, "documents").filter("text is not null and source is not null").select("doc_id", "source", "text"), "doc_id")
+    docs = docs.join(broadcast_if_small(targets.select("source").distinct()), "source", "left_semi")
     return materialise(tokens.count_tokens(docs, "text", ["doc_id", "source"]), "document-sizes")
 
 
