@@ -23,12 +23,23 @@ def test_merge_of_parts_equals_the_whole(spark):
     df = spark.range(3000).select((F.col("id") % 4).alias("k"), F.col("id").cast("string").alias("v"))
     whole = distinct.sketch(df, ["k"], "v", 64)
     parts = [distinct.sketch(df.filter(F.crc32("v") % 3 == i), ["k"], "v", 64) for i in range(3)]
-    merged = distinct.merge(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["k"])
+    merged = distinct.merge(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["k"], 64)
     as_dict = lambda d: {r["k"]: bytes(r["registers"]) for r in d.collect()}
     assert as_dict(whole) == as_dict(merged)
-    total = distinct.merge(whole.withColumn("all", F.lit(None).cast("string")), ["all"]).collect()  # a null key is a group
-    least = np.minimum.reduce([np.frombuffer(b, np.float32) for b in as_dict(whole).values()])
-    assert len(total) == 1 and np.array_equal(np.frombuffer(total[0]["registers"], np.float32), least)
+    total = distinct.merge(whole.withColumn("all", F.lit(None).cast("string")), ["all"], 64).collect()  # a null key is a group
+    least = np.minimum.reduce([distinct.unpack(b)[1] for b in as_dict(whole).values()])
+    assert len(total) == 1 and np.array_equal(distinct.unpack(bytes(total[0]["registers"]))[1], least)
+
+
+def test_few_members_are_kept_as_they_are_and_estimate_the_same(spark):
+    df = spark.range(200).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id") % 20).otherwise(F.col("id")).cast("string").alias("v"))
+    got = {r["k"]: bytes(r["registers"]) for r in distinct.sketch(df, ["k"], "v", 64).collect()}
+    assert len(got[0]) == 1 + 8 * 10 and len(got[1]) == 1 + 4 * 64  # ten members, a hundred
+    few, many = distinct.unpack(got[0])[0], distinct.unpack(got[1])[1]
+    both = distinct.merge(distinct.sketch(df.withColumn("k", F.lit(1)), ["k"], "v", 64), ["k"], 64).first()["registers"]
+    assert np.array_equal(distinct.unpack(bytes(both))[1], np.minimum(distinct.registers_of(few, 64), many))
+    c = distinct.counts(distinct.sketch(df, ["k"], "v", 64).filter("k = 0"), 64).first()
+    assert c["estimate"] == pytest.approx(63 / distinct.registers_of(few, 64).sum(dtype=np.float64))
 
 
 def test_nulls_empty_and_parameters(spark):

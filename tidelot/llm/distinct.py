@@ -6,6 +6,9 @@ are the elementwise minimum, so partial sketches merge in any order and repeated
 change nothing. The registers' sum is Gamma(k, rate n): (k - 1) / sum is an unbiased count with
 relative standard error 1 / sqrt(k - 2), and gamma quantiles over the sum bound n.
 
+A sketch of at most k / 2 members keeps their hashes, from which the registers follow, and so takes
+eight bytes a member; the estimate is always that of the registers.
+
 Rows with a null identifier are left out; null keys form groups of their own; a group without rows has no sketch. One distinct
 identifier, or a billion, take the same k registers. Each task folds its rows into at most
 `MAX_OPEN` groups before anything is shuffled.
@@ -42,24 +45,53 @@ def exponentials(hashes: np.ndarray, k: int) -> np.ndarray:
     return (-np.log(unit)).astype(np.float32)
 
 
-class _Groups:
-    """Registers by group key, passed on when too many are open."""
+#: What a sketch's bytes begin with: its members' hashes while they take less room than registers, or the registers.
+_FEW, _MANY = b"h", b"r"
+
+
+def pack(hashes: np.ndarray | None, registers: np.ndarray | None) -> bytes:
+    return _FEW + hashes.tobytes() if registers is None else _MANY + registers.tobytes()
+
 
-    def __init__(self, schema: pa.Schema):
-        self.schema, self.open = schema, {}
+def unpack(raw: bytes) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """(hashes, None) or (None, registers)."""
+    return (np.frombuffer(raw, np.int64, offset=1), None) if raw[:1] == _FEW else (None, np.frombuffer(raw, np.float32, offset=1))
 
-    def fold(self, key: tuple, registers: np.ndarray) -> None:
-        mine = self.open.get(key)
-        if mine is None:
-            self.open[key] = registers.copy()
-        else:
-            np.minimum(mine, registers, out=mine)
+
+def registers_of(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Least exponential values of a set of hashes, in steps of bounded memory."""
+    out = np.full(k, np.inf, np.float32)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(out, exponentials(hashes[at : at + 2048], k).min(axis=0), out=out)
+    return out
+
+
+class _Groups:
+    """Sketches by group key, passed on when too many are open."""
+
+    def __init__(self, schema: pa.Schema, k: int):
+        self.schema, self.k, self.open = schema, k, {}
+
+    def fold(self, key: tuple, hashes: np.ndarray | None, registers: np.ndarray | None) -> None:
+        """Unite a group with hashes, or with registers."""
+        mine, low = self.open.get(key, (None, None))
+        if hashes is not None:
+            mine = hashes if mine is None else np.concatenate([mine, hashes])
+        if registers is not None:
+            low = registers.copy() if low is None else np.minimum(low, registers)
+        if mine is not None and (low is not None or 2 * len(mine) > self.k):
+            mine = np.unique(mine)
+            if low is not None or 2 * len(mine) > self.k:
+                more = registers_of(mine, self.k)
+                low, mine = more if low is None else np.minimum(low, more), None
+        self.open[key] = (mine, low)
 
     def flush(self, but: tuple | None = None) -> pa.RecordBatch:
         """Pass on all groups, except the one named `but`, which sorted input may go on with."""
         kept = {but: self.open.pop(but)} if but is not None else {}
         keys = list(self.open)
-        cols = [[k[i] for k in keys] for i in range(len(self.schema) - 1)] + [[v.tobytes() for v in self.open.values()]]
+        packed = [pack(h if h is None else np.unique(h), r) for h, r in self.open.values()]
+        cols = [[key[i] for key in keys] for i in range(len(self.schema) - 1)] + [packed]
         self.open = kept
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, self.schema, strict=True)], schema=self.schema)
 
@@ -82,7 +114,7 @@ def sketch(df: DataFrame, keys: list[str], identifier: str, k: int = 1024) -> Da
     schema = _arrow_schema(rows, keys)
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = _Groups(schema)
+        groups = _Groups(schema, k)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -94,32 +126,29 @@ def sketch(df: DataFrame, keys: list[str], identifier: str, k: int = 1024) -> Da
             h = b.column(len(keys)).to_numpy(zero_copy_only=False)
             pairs, where = np.unique(np.rec.fromarrays([code, h]), return_index=True)
             code, h = pairs["f0"], pairs["f1"]
-            for at in range(0, len(h), 2048):
-                c = code[at : at + 2048]
-                starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                least = np.minimum.reduceat(exponentials(h[at : at + 2048], k), starts, axis=0)
-                shown = pa.array(where[at + starts])
-                names = list(zip(*(b.column(i).take(shown).to_pylist() for i in range(len(keys))), strict=True)) if keys else [()] * len(starts)
-                for row, key in enumerate(names):
-                    groups.fold(key, least[row])
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            shown = pa.array(where[starts])
+            names = list(zip(*(b.column(i).take(shown).to_pylist() for i in range(len(keys))), strict=True)) if keys else [()] * len(starts)
+            for key, a, z in zip(names, starts.tolist(), [*starts[1:].tolist(), len(h)], strict=True):
+                groups.fold(key, h[a:z], None)
                 if len(groups.open) > MAX_OPEN:
                     yield groups.flush()
         yield groups.flush()
 
-    return merge(rows.mapInArrow(partials, _ddl(rows, keys)), keys)
+    return merge(rows.mapInArrow(partials, _ddl(rows, keys)), keys, k)
 
 
-def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
+def merge(sketches: DataFrame, keys: list[str], k: int = 1024) -> DataFrame:
     """Union of sketches per group (null keys form a group): each task merges its own, then `FAN` ways per group, then one."""
     schema = _arrow_schema(sketches, keys)
     ddl = _ddl(sketches, keys)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = _Groups(schema)
+        groups = _Groups(schema, k)
         for b in batches:
             names = list(zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True)) if keys else [()] * b.num_rows
             for key, raw in zip(names, b.column(len(keys)), strict=True):
-                groups.fold(key, np.frombuffer(raw.as_buffer(), np.float32))
+                groups.fold(key, *unpack(raw.as_py()))
                 if len(groups.open) > MAX_OPEN:
                     yield groups.flush(but=key)
         yield groups.flush()
@@ -142,7 +171,11 @@ def counts(sketches: DataFrame, k: int = 1024, confidence: float = 0.95) -> Data
 
     @F.pandas_udf("double")
     def total(r):
-        return r.map(lambda raw: float(np.frombuffer(raw, np.float32).sum(dtype=np.float64)))
+        def one(raw: bytes) -> float:
+            few, low = unpack(raw)
+            return float((registers_of(few, k) if low is None else low).sum(dtype=np.float64))
+
+        return r.map(one)
 
     s = F.col("_sum")
     out = sketches.withColumn("_sum", total("registers"))
