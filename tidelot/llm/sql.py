@@ -24,7 +24,7 @@ union all select 'day+lot_id', count(distinct (dy, lot_id)), count(distinct (dy,
 union all select 'day+personality', count(distinct (dy, kind)), count(distinct (dy, kind)) from e where dy is not null and lot_id is not null
 union all select 'lot_id+personality', count(distinct lot_id), count(distinct lot_id) from e
 union all select 'day+lot_id+personality', count(distinct (dy, lot_id)), count(distinct (dy, lot_id)) from e where dy is not null and lot_id is not null""",
-    "p7_near_cost": f"""with recursive {MESSAGES_SQL},
+    "p7_near_cost": f"""with {MESSAGES_SQL},
 m as (select lot_id, sensor_id, slot_id, kind, coalesce(st, '') as st, ts, kafka_offset from messages
   where lot_id is not null and sensor_id is not null and ts is not null and slot_id is not null and kind is not null),
 f as (select *, case when ts - lag(ts) over w <= 1200000000 then 0 else 1 end as fresh from m window w as (partition by lot_id, sensor_id order by ts, kafka_offset)),
@@ -33,11 +33,10 @@ e as (select dense_rank() over (order by lot_id, sensor_id, island) as s, row_nu
 p as (select b.s, a.i as j, b.i, count(*) over (partition by b.s, a.i, b.slot_id order by b.i) as c1, count(*) over (partition by b.s, a.i, b.kind order by b.i) as c2,
   count(*) over (partition by b.s, a.i, b.st order by b.i) as c3 from e a join e b on a.s = b.s and a.i <= b.i),
 q as (select s, j, i, 3 * (i - j + 1) - max(c1) over w - max(c2) over w - max(c3) over w as off from p window w as (partition by s, j order by i)),
-c as (select s, i, list(off order by j) as offs from q group by s, i),
-r as (select distinct s, 0 as i, [0.0::double] as best from e
-  union all select r.s, c.i, list_append(r.best, list_min([r.best[j] + c.offs[j] + 1.5 for j in range(1, c.i + 1)])) from r join c on c.s = r.s and c.i = r.i + 1),
-n as (select s, any_value(lot_id) as lot_id, any_value(sensor_id) as sensor_id, count(*) as n from e group by s)
-select lot_id, sensor_id, sum(best[-1]) as total_cost, cast(sum(n) as bigint) as n_events from r join n on n.s = r.s and n.n = r.i group by lot_id, sensor_id""",
+c as (select s, i, list(off::double order by j) as offs from q group by s, i),
+r as (select s, count(*) as n, list_reduce(list_prepend([0.0::double], list(offs order by i)), lambda best, offs: list_append(best, list_min([best[j] + offs[j] + 1.5 for j in range(1, len(offs) + 1)])))[-1] as cost from c group by s),
+n as (select s, any_value(lot_id) as lot_id, any_value(sensor_id) as sensor_id from e group by s)
+select lot_id, sensor_id, sum(cost) as total_cost, cast(sum(n) as bigint) as n_events from r join n using (s) group by lot_id, sensor_id""",
     "p8_offsets": "select true as covers, count(*) as n_docs from documents",
     "p9_rules_kept": _RULES,
     "p9_whole_budget": _RULES,
