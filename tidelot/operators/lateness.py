@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidelot.functions.timing import DAY_US, HOUR_US, cell_of, floor_to
 from tidelot.operators.store import VersionedTable
-from tidelot.session import Staging
+from tidelot.session import Staging, at_once
 
 
 def heard_before(df: DataFrame, entity: str, event_us: str, arrival_us: str, seq: str, shard_us: int = HOUR_US, carried: DataFrame | None = None) -> DataFrame:
@@ -146,15 +146,14 @@ class LatenessTable:
         day = cell_of("window_start_us", self.part_us)
         touched = [f"counts:{r['d']}" for r in delta.select(day.alias("d")).distinct().collect()]  # bounded by the batch's time span
         merged = merge_states(["entity", "window_start_us"], self.table.read(touched, state, "counts"), delta).filter(some)
-        put = {f"counts:{d}": {"path": f, "stats": {}} for d, f in self.table.write(merged, day, "counts").items()}
-
         tops = now.groupBy("entity", shard.alias("shard")).agg(F.max("ts").alias("top"))
         part = F.expr(f"shard div {max(1, self.part_us // self.shard_us)}")
         renewed = [f"tops:{r['d']}" for r in both.select(shard.alias("shard")).select(part.alias("d")).distinct().collect()]
         later = [p for p in self.table.parts(state, "tops") if since is not None and int(p.split(":")[1]) >= since // max(1, self.part_us // self.shard_us)]
         renewed = sorted({*renewed, *later})
         stored = self.table.read(renewed, state, "tops").join(points, "entity", "left").filter("point is null or shard < point").drop("point")
-        put |= {f"tops:{d}": {"path": f, "stats": {}} for d, f in self.table.write(stored.unionByName(tops), part, "tops").items()}
+        made = at_once({"counts": lambda: self.table.write(merged, day, "counts"), "tops": lambda: self.table.write(stored.unionByName(tops), part, "tops")})
+        put = {f"{kind}:{d}": {"path": f, "stats": {}} for kind, folders in made.items() for d, f in folders.items()}
         self.table.vacuum(self.table.commit(state, put, drop=[*touched, *renewed], batch=batch))
 
     def state(self) -> DataFrame:

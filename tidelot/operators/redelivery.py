@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidelot.operators.messages import RANK, first_delivered, ranked
 from tidelot.operators.store import VersionedTable
-from tidelot.session import Staging, scratch_dir
+from tidelot.session import Staging, at_once, scratch_dir
 
 #: Buckets of the identifier index.
 BUCKETS = 16
@@ -76,11 +76,13 @@ class MessageStore:
             lost = lost.unionByName(pairs.filter("loses").select("now.kafka_partition", "now.kafka_offset"))
             fresh = incoming.join(known.select("id"), "id", "left_anti")
         here = (incoming if fresh is incoming else staging.write(fresh, "fresh")).withColumn("part", F.lit(batch))
-        newest = here.agg(F.max(F.unix_micros("ingest_ts"))).first()[0]
-        put[f"messages:{batch}"] = {"path": t.write(here, kind="messages")[""], "stats": {"newest": newest}}
-        put[f"surplus:{batch}"] = {"path": t.write(lost, kind="surplus")[""], "stats": {}}
-        for b, path in t.write(here.filter("id is not null"), bucket_of("id"), "index").items():
-            put[f"index:{b}:{batch}"] = {"path": path, "stats": {}}
+        made = at_once({
+            "newest": lambda: here.agg(F.max(F.unix_micros("ingest_ts"))).first()[0], "messages": lambda: t.write(here, kind="messages")[""], "surplus": lambda: t.write(lost, kind="surplus")[""],
+            "index": lambda: t.write(here.filter("id is not null"), bucket_of("id"), "index"),
+        })
+        put[f"messages:{batch}"] = {"path": made["messages"], "stats": {"newest": made["newest"]}}
+        put[f"surplus:{batch}"] = {"path": made["surplus"], "stats": {}}
+        put |= {f"index:{b}:{batch}": {"path": path, "stats": {}} for b, path in made["index"].items()}
         t.vacuum(t.commit(state, put, batch=batch))
 
     def messages(self) -> DataFrame:

@@ -147,6 +147,7 @@ class Staging:
 
 def at_once(jobs: dict[str, Callable[[], Any]]) -> dict[str, Any]:
     """Results of independent jobs, run side by side: small jobs wait for each other's start-up otherwise."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(min(8, max(1, len(jobs)))) as pool:
-        started = {n: pool.submit(inheritable_thread_target(job)) for n, job in jobs.items()}
+        started = {n: pool.submit(inherit(job)) for n, job in jobs.items()}
         return {n: f.result() for n, f in started.items()}
