@@ -71,3 +71,39 @@ def test_offsets_column(spark):
 
 def test_empty_table(spark):
     assert tokens.encode(frame(spark).limit(0), "text", ["doc_id"]).count() == 0
+
+
+def test_encoder_gives_the_library_s_ids_and_is_much_faster():
+    import time
+
+    t, fast = tokens.load(tokens.BYTE_BPE_50K), tokens.encoder(tokens.BYTE_BPE_50K)
+    by_library = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    odd = [x or "" for x in TEXTS] + [" " * 300_000 + "x", "\n" * 20_000, "it's we'll I'D \x1c\x85\u2028 ½ ²x", " \n \n  a  \n"]
+    odd += ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}!" for c in range(i, i + 256)) for i in range(0, 0x20000, 256) if not 0xD800 <= i < 0xE000]
+    assert fast(odd) == by_library(odd)
+    texts = [" ".join(f"word{i * k % 9973} parking lots, (closed)" for i in range(500)) for k in range(100)]
+    began = time.process_time()
+    want = by_library(texts)
+    mid = time.process_time()
+    assert fast(texts) == want
+    assert time.process_time() - mid < 0.7 * (mid - began)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \t\n\r'sdmtlvre\u00a0\u3000a1!"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_encoder_agrees_with_the_library(text):
+    ids = tokens.load(tokens.BYTE_BPE_50K).encode(text, add_special_tokens=False).ids
+    assert tokens.encoder(tokens.BYTE_BPE_50K)([text]) == [ids]
+
+
+def test_files_of_another_kind_go_to_the_library(tmp_path):
+    import json
+
+    with open(tokens.BYTE_BPE_50K, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert tokens._in_merge_order(spec)
+    assert not tokens._in_merge_order(spec | {"normalizer": {"type": "Lowercase"}})
+    assert not tokens._in_merge_order(spec | {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}})
+    other = spec | {"normalizer": {"type": "Lowercase"}}
+    (tmp_path / "t.json").write_text(json.dumps(other))
+    assert tokens.encoder(str(tmp_path / "t.json"))(["PARKING"]) == tokens.encoder(tokens.BYTE_BPE_50K)(["parking"])

@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,10 @@ from pyspark.sql import functions as F
 #: Where the vocabulary lies unless a caller names another file.
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.json"
 BATCH_CHARS = 1 << 20
+#: What the ByteLevel pre-tokenizer splits by, possessive where that changes nothing, and runs of blanks too long for a backtracking matcher.
+_SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+_LONG = 10_000
+_LONG_BLANK = re.compile(r"\s{%d}" % _LONG)
 
 
 @lru_cache(maxsize=4)
@@ -59,6 +65,38 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
+def _in_merge_order(spec: dict) -> bool:
+    """Whether a file holds plain byte-level BPE whose ids are its merges' order: then ranks of bytes say all."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    plain = plain and model.get("type") == "BPE" and all(t["special"] for t in spec.get("added_tokens", []))
+    if not plain or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"].get(m, -1) for m in merged]
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    return all(a < b for a, b in zip([255, *ids], ids, strict=False)) and model["vocab"].keys() - special == {*byte_alphabet(), *merged} - special
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """Texts to ids: by tiktoken where it is there and the file allows, which gives the same ids in a quarter of the time."""
+    t = load(path)
+    by_library = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    try:
+        import tiktoken
+    except ImportError:
+        return by_library
+    if not _in_merge_order(spec):
+        return by_library
+    special = {t["id"] for t in spec.get("added_tokens", [])}
+    ranks = {b: i for i, b in enumerate(token_bytes(path)) if b and i not in special}
+    fast = tiktoken.Encoding(path, pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda texts: [by_library([x])[0] if len(x) >= _LONG and _LONG_BLANK.search(x) else fast(x) for x in texts]
+
+
 def _slices(texts: list[str | None]) -> Iterator[list[str]]:
     """Consecutive slices of about `BATCH_CHARS` characters, nulls as empty texts."""
     now, size = [], 0
@@ -74,7 +112,7 @@ def _slices(texts: list[str | None]) -> Iterator[list[str]]:
 
 def _lists(parts: list[list[int]]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int64)
-    flat = np.fromiter((i for p in parts for i in p), np.int32, count=int(ends[-1]))
+    flat = np.fromiter(chain.from_iterable(parts), np.int32, count=int(ends[-1]))
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
 
@@ -85,11 +123,11 @@ def encode(df: DataFrame, text: str, keep: list[str], tokenizer: str = BYTE_BPE_
     ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(tokenizer)
+        ids_of = encoder(tokenizer)
         for b in batches:
             at = 0
             for part in _slices(b.column(len(keep)).to_pylist()):
-                ids = _lists([e.ids for e in t.encode_batch_fast(part, add_special_tokens=False)])
+                ids = _lists(ids_of(part))
                 head = b.slice(at, len(part))
                 at += len(part)
                 yield pa.RecordBatch.from_arrays([*(head.column(i) for i in range(len(keep))), ids], names=[*keep, "ids"])
