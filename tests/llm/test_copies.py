@@ -99,3 +99,55 @@ def test_compare():
 def test_very_long_texts_have_short_lists():
     rows = entries_of({1: " ".join(f"w{i}" for i in range(200_000))})
     assert rows and max(len(r[1]) for r in rows) < 1200
+
+
+def with_shared_paragraphs():
+    """Originals that share long paragraphs, and copies that end inside of these: the nearest that goes on is mostly another's."""
+    rng = random.Random(6)
+    shared = [[f"s{k}x{i}" for i in range(60)] for k in range(3)]
+    texts, copies = {}, set()
+    for i in range(90):
+        own = [f"o{i}x{j}" for j in range(rng.randint(10, 45))]
+        texts[i] = " ".join([*own, *shared[i % 3], *(f"t{i}x{j}" for j in range(20))])
+        if i % 2:
+            cut = [*own, *shared[i % 3][: rng.randint(30, 58)]]
+            if i % 4 == 1:
+                cut[-rng.randint(8, 20)] = "edit"
+            texts[1000 + i] = " ".join(cut)
+            copies.add(1000 + i)
+    return texts, copies
+
+
+def test_all_members_of_a_bucket_are_partners(spark):
+    texts, copies = with_shared_paragraphs()
+    a, rows = c.Anchors(), entries_of(texts)
+    alike = {(x, y) for x in texts for y in texts if x != y and c.compare(texts[x], texts[y], a)}
+    members = {}
+    for r in rows:
+        members.setdefault(r[0], set()).add(r[4])
+    in_a_bucket = {(r[4], y) for r in rows if r[3] for y in members[r[0]]}
+    want = {x for x, y in alike & in_a_bucket}
+    assert len(want) > 35 and want <= copies
+    first = first_that_goes_on(rows)
+    assert len({x for x, y in alike & first}) < 0.7 * len(want)  # what the first continuations alone would give
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = {r["text_hash"] for r in c.early_ends(docs, docs.select("doc_id", F.col("doc_id").alias("text_hash")), frame(spark, rows)).collect()}
+    assert want <= found <= {x for x, y in alike}
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_others_leave_out_no_pair_that_compares(spark, monkeypatch, few):
+    monkeypatch.setattr(c, "FEW", few)
+    rng, texts = random.Random(8), {}
+    for i in range(25):
+        full = [f"w{rng.randint(0, 12 if i % 5 == 0 else 400)}" for _ in range(rng.randint(8, 160))]
+        texts[i] = " ".join(full)
+        for k in range(4):
+            cut = [w if rng.random() > 0.01 * k else "edit" for w in full[: rng.randint(3, len(full))]]
+            texts[100 * (k + 1) + i] = " ".join(cut) + rng.choice(["", " w", " cut off"])
+    a = c.Anchors()
+    alike = {(x, y) for x in texts for y in texts if x != y and c.compare(texts[x], texts[y], a)}
+    both = spark.createDataFrame(list(texts.items()), "text_hash bigint, text string")
+    got = [tuple(r) for r in c.others(both, both).collect()]
+    assert len(alike) > 60 and alike <= set(got) and len(got) == len(set(got))
+    assert len(got) < 0.25 * len(texts) ** 2

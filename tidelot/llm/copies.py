@@ -14,12 +14,18 @@ The sort is by range, so no bucket is one task and work grows with rows, not wit
 is verified on whole texts: at least 0.8 of the shingles of the copy and of the other text up to the
 copy's end are the same, and the other goes on for `GOES_ON` words that are no trailer.
 
+That is the short way to most copies. A text whose first continuations are not verified is compared
+with all other texts of its buckets (`others`), by what every verified pair must share: one of the
+copy's last shingles, and one of any so many of its shingles that the rest is less than 0.8. The
+rarest are taken, so that what many texts hold makes no pairs. Nothing is left out by this.
+
 A last word may itself be cut and is not hashed. Texts of fewer than SKIP + RUN + 1 words are not
 looked up. Equal texts are one. Empty input gives empty output.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections import deque
@@ -29,10 +35,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelot.session import broadcast_if_small, materialise
+from tidelot.session import broadcast_if_small, materialise, spread
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS = 4
@@ -40,6 +46,10 @@ BANDS = 4
 RUN, SKIP = 8, 4
 #: Words by which the longer text must go on.
 GOES_ON = 6
+#: Texts that hold a copy's last shingles, up to which they are its candidates as they are.
+FEW = 4
+#: Candidates of a text that are verified at once; the next ones only if none of them is a copy's original, to the last.
+ROUNDS = (4, 64, (1 << 31) - 1)
 # Lines that version control adds behind a whole text.
 TRAILER = re.compile(r"^\s*(?:[A-Z][A-Za-z-]+-by: .*|\(cherry picked from commit .*|-- ?|\d+(?:\.\d+)+|Patch set \d+: \w+|\\ No newline at end of file)\s*$")
 
@@ -255,15 +265,91 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([h for h, s, t in zip(hashes, copies, others, strict=True) if compare(s, t, anchors)], pa.int64())], names=["text_hash"])
 
 
+def _of_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text its shingles as a copy (without its last word), the last of them, how far another must reach and how many keys none can do without."""
+    anchors = Anchors()
+    for b in batches:
+        rows = []
+        for text_hash, text in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
+            x = anchors.shingles(text.split()[:-1]).view(np.int64)
+            if len(x):
+                own = np.unique(x)
+                reach = math.ceil(SIMILARITY * len(np.unique(x[: max(1, len(x) - SHINGLE + 1)])) - 1e-9)  # shingles that both must have
+                rows.append((text_hash, np.unique(x[-SHINGLE:]), own, reach, len(own) - reach + 1))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["text_hash", "ends", "own", "reach", "n_keys"])
+
+
+def _of_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text its different shingles behind which it goes on for more than `GOES_ON` words, and the words up to the last place of each."""
+    anchors = Anchors()
+    for b in batches:
+        rows = []
+        for text_hash, text in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
+            y = anchors.shingles(text.split())[: -GOES_ON - 1].view(np.int64)
+            if len(y):
+                shingles, back = np.unique(y[::-1], return_index=True)
+                rows.append((text_hash, shingles, len(y) - back))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["other", "shingles", "upto"])
+
+
+def others(texts: DataFrame, copies: DataFrame) -> DataFrame:
+    """(`text_hash`, `other`): all pairs of `copies` and `texts` that `compare` may verify, without those that it can not.
+
+    Both have `text_hash` and `text`. A pair must share one of the copy's last shingles, where the other goes on
+    and has as many shingles before as it must share. Where more texts than `FEW` hold a copy's last shingles,
+    it must also share one of `n_keys` shingles, of which the rarest are taken.
+    """
+    mine = lambda df: spread(df.select("text_hash", "text"), "text_hash").mapInArrow(_of_copies, "text_hash bigint, ends array<bigint>, own array<bigint>, reach bigint, n_keys bigint")
+    theirs = spread(texts.select("text_hash", "text"), "text_hash").mapInArrow(_of_others, "other bigint, shingles array<bigint>, upto array<int>")
+    theirs = theirs.select("other", F.explode(F.arrays_zip("shingles", "upto")).alias("x")).select("other", F.col("x.shingles").alias("shingle"), F.col("x.upto").alias("upto"))
+
+    ends = materialise(mine(copies).select("text_hash", "reach", F.explode("ends").alias("shingle")), "copy-ends")
+    wanted = materialise(ends.groupBy("shingle").agg(F.min("reach").alias("least")), "copy-end-shingles")
+    held = theirs.join(broadcast_if_small(wanted), "shingle").filter("upto >= least").drop("least")
+    held = materialise(held, "held-ends")
+    n_held = materialise(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "held-end-counts")
+    cost = materialise(ends.join(broadcast_if_small(n_held), "shingle").groupBy("text_hash").agg(F.sum("n").alias("n")), "copy-costs")
+
+    few = ends.join(broadcast_if_small(cost.filter(F.col("n") <= FEW)), "text_hash", "left_semi").join(held, "shingle").filter("upto >= reach")
+    many = copies.join(broadcast_if_small(cost.filter(F.col("n") > FEW)), "text_hash", "left_semi")
+    own = materialise(mine(many).select("text_hash", "n_keys", F.explode("own").alias("shingle")), "copy-keys")
+    keys = materialise(own.select("shingle").distinct(), "copy-key-shingles")
+    uses = materialise(theirs.join(broadcast_if_small(keys), "shingle", "left_semi").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "key-counts")
+    rank = F.row_number().over(Window.partitionBy("text_hash").orderBy("n", "shingle"))  # over the shingles of one text
+    own = own.join(broadcast_if_small(uses), "shingle", "left").fillna(0, ["n"]).withColumn("rank", rank).filter("rank <= n_keys")
+    rare = materialise(own.filter("n > 0").select("text_hash", "shingle"), "rare-keys")
+    at = theirs.join(broadcast_if_small(rare.select("shingle").distinct()), "shingle", "left_semi").select("shingle", "other")
+    near = rare.join(at, "shingle").filter("text_hash <> other").select("text_hash", "other").distinct()
+    both = near.join(ends, "text_hash").join(held, ["shingle", "other"]).filter("upto >= reach")
+    return few.filter("text_hash <> other").select("text_hash", "other").unionByName(both.select("text_hash", "other")).distinct()
+
+
+def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    both = pairs.join(found.select("text_hash", F.col("text").alias("copy")), "text_hash").join(found.select(F.col("text_hash").alias("other"), F.col("text").alias("longer")), "other")
+    return both.select("text_hash", "copy", "longer").mapInArrow(_verify, "text_hash bigint").distinct()
+
+
 def early_ends(texts: DataFrame, hashes: DataFrame, entries: DataFrame) -> DataFrame:
     """(`text_hash`) of texts that end inside a longer near-copy.
 
     `texts` has `doc_id` and `text`, `hashes` has `doc_id` and `text_hash`. Texts of either side are
     looked up by a list of ids, broadcast where that is small, so that only these texts move.
     """
-    pairs = materialise(neighbours(entries), "copy-pairs")
-    wanted = pairs.select("text_hash").union(pairs.select("other")).distinct()
-    ids = hashes.join(broadcast_if_small(wanted), "text_hash", "left_semi").groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
-    found = materialise(texts.select("doc_id", "text").join(broadcast_if_small(materialise(ids, "copy-ids")), "doc_id").select("text_hash", "text"), "copy-texts")
-    both = pairs.join(found.withColumnRenamed("text", "copy"), "text_hash").join(found.select(F.col("text_hash").alias("other"), F.col("text").alias("longer")), "other")
-    return both.select("text_hash", "copy", "longer").mapInArrow(_verify, "text_hash bigint").distinct()
+    buckets = entries.groupBy("bucket").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("z"), F.max("looked_up").alias("any")).filter("a < z and any").select("bucket")
+    entries = materialise(entries.join(broadcast_if_small(materialise(buckets, "shared-buckets")), "bucket", "left_semi"), "shared-entries")
+    members = entries.groupBy("text_hash").agg(F.max("looked_up").alias("looked_up"))
+    ids = hashes.join(broadcast_if_small(materialise(members, "bucket-members")), "text_hash").groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("looked_up").alias("looked_up"))
+    found = texts.select("doc_id", "text").join(broadcast_if_small(materialise(ids, "copy-ids")), "doc_id").select("text_hash", "looked_up", "text")
+    found = materialise(found, "copy-texts")
+    done = materialise(_verified(neighbours(entries), found), "first-copies")
+    rest = found.filter("looked_up").join(broadcast_if_small(done), "text_hash", "left_anti")
+    rank = F.row_number().over(Window.partitionBy("text_hash").orderBy("other"))
+    pairs = materialise(others(found, rest).withColumn("rank", rank), "other-pairs")
+    for after, upto in zip((0, *ROUNDS), ROUNDS, strict=False):
+        more = pairs.filter((F.col("rank") > after) & (F.col("rank") <= upto)).join(broadcast_if_small(done), "text_hash", "left_anti")
+        done = done.unionByName(materialise(_verified(more.select("text_hash", "other"), found), "more-copies"))
+    return done
