@@ -48,6 +48,8 @@ RUN, SKIP = 8, 4
 GOES_ON = 6
 #: Texts that hold a copy's last shingles, up to which they are its candidates as they are.
 FEW = 4
+#: Keys beyond those of which a pair must share one; each of them asks for one more that is shared.
+MORE = 8
 #: Candidates of a text that are verified at once; the next ones only if none of them is a copy's original, to the last.
 ROUNDS = (4, 64, (1 << 31) - 1)
 # Lines that version control adds behind a whole text.
@@ -299,9 +301,9 @@ def _of_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def others(texts: DataFrame, copies: DataFrame) -> DataFrame:
     """(`text_hash`, `other`): all pairs of `copies` and `texts` that `compare` may verify, without those that it can not.
 
-    Both have `text_hash` and `text`. A pair must share one of the copy's last shingles, where the other goes on
+    Both have `text_hash`, each once, and `text`. A pair must share one of the copy's last shingles, where the other goes on
     and has as many shingles before as it must share. Where more texts than `FEW` hold a copy's last shingles,
-    it must also share one of `n_keys` shingles, of which the rarest are taken.
+    it must also share one of `n_keys` shingles, of which the rarest are taken; of `more` than these, as many more.
     """
     mine = lambda df: spread(df.select("text_hash", "text"), "text_hash").mapInArrow(_of_copies, "text_hash bigint, ends array<bigint>, own array<bigint>, reach bigint, n_keys bigint")
     theirs = spread(texts.select("text_hash", "text"), "text_hash").mapInArrow(_of_others, "other bigint, shingles array<bigint>, upto array<int>")
@@ -316,14 +318,15 @@ def others(texts: DataFrame, copies: DataFrame) -> DataFrame:
 
     few = ends.join(broadcast_if_small(cost.filter(F.col("n") <= FEW)), "text_hash", "left_semi").join(held, "shingle").filter("upto >= reach")
     many = copies.join(broadcast_if_small(cost.filter(F.col("n") > FEW)), "text_hash", "left_semi")
-    own = materialise(mine(many).select("text_hash", "n_keys", F.explode("own").alias("shingle")), "copy-keys")
+    own = materialise(mine(many).select("text_hash", "n_keys", F.least(F.lit(MORE), F.size("own") - F.col("n_keys")).alias("more"), F.explode("own").alias("shingle")), "copy-keys")
     keys = materialise(own.select("shingle").distinct(), "copy-key-shingles")
     uses = materialise(theirs.join(broadcast_if_small(keys), "shingle", "left_semi").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "key-counts")
     rank = F.row_number().over(Window.partitionBy("text_hash").orderBy("n", "shingle"))  # over the shingles of one text
-    own = own.join(broadcast_if_small(uses), "shingle", "left").fillna(0, ["n"]).withColumn("rank", rank).filter("rank <= n_keys")
-    rare = materialise(own.filter("n > 0").select("text_hash", "shingle"), "rare-keys")
+    own = own.join(broadcast_if_small(uses), "shingle", "left").fillna(0, ["n"]).withColumn("rank", rank).filter("rank <= n_keys + more")
+    rare = materialise(own.filter("n > 0").select("text_hash", "shingle", "more"), "rare-keys")
     at = theirs.join(broadcast_if_small(rare.select("shingle").distinct()), "shingle", "left_semi").select("shingle", "other")
-    near = rare.join(at, "shingle").filter("text_hash <> other").select("text_hash", "other").distinct()
+    near = rare.join(at, "shingle").filter("text_hash <> other").groupBy("text_hash", "other").agg(F.count(F.lit(1)).alias("n"), F.first("more").alias("more"))
+    near = materialise(near.filter("n > more").select("text_hash", "other"), "near-pairs")
     both = near.join(ends, "text_hash").join(held, ["shingle", "other"]).filter("upto >= reach")
     return few.filter("text_hash <> other").select("text_hash", "other").unionByName(both.select("text_hash", "other")).distinct()
 
