@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelot.llm import copies as c
-from tidelot.session import table
+from tidelot.session import materialise, scratch_dir, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -151,3 +151,35 @@ def test_others_leave_out_no_pair_that_compares(spark, monkeypatch, few):
     got = [tuple(r) for r in c.others(both, both).collect()]
     assert len(alike) > 60 and alike <= set(got) and len(got) == len(set(got))
     assert len(got) < 0.25 * len(texts) ** 2
+
+
+def test_scratch_of_others_is_a_few_bytes_a_shingle(spark):
+    """Texts of their own that end alike: nothing is written for each pair of text and shingle but an entry of an array."""
+    rng, shared = random.Random(9), [f"s{i}" for i in range(40)]
+    texts = {i: [*(f"o{i}x{j}" for j in range(150)), *shared[: rng.choice([25, 30, 40])]] for i in range(1500)}
+    both = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "text_hash bigint, text string")
+    place = Path(scratch_dir(spark, "x").removeprefix("file:")).parent
+    size = lambda: sum(p.stat().st_size for p in place.rglob("*.parquet"))
+    before = size()
+    assert c.others(both, both).count() == 0  # all hold the last shingles of others, and too few of the rest
+    assert size() - before < 8 * sum(map(len, texts.values()))
+
+
+@pytest.mark.parametrize("bits", [2, 9, 16])
+def test_others_of_short_texts_and_many_parts(spark, monkeypatch, bits):
+    monkeypatch.setattr(c, "_parts_of", lambda _: bits)
+    words = [f"w{i}" for i in range(60)]
+    texts = dict(enumerate(["", "one", "a b c d", "a b c d e", "a b c d e f", " ".join(words), " ".join(words[:30]), " ".join(["edit", *words[1:40]]), "w " * 90, "w " * 50]))
+    both = spark.createDataFrame(list(texts.items()), "text_hash bigint, text string")
+    a = c.Anchors()
+    got = {tuple(r) for r in c.others(both, both).collect()}
+    assert {(6, 5), (7, 5)} <= {(x, y) for x in texts for y in texts if x != y and c.compare(texts[x], texts[y], a)} <= got
+    assert c.others(both.limit(0), both.limit(0)).count() == 0
+
+
+def test_only_texts_of_pairs_move(spark):
+    both = spark.range(3000).selectExpr("id as text_hash", "concat_ws(' ', transform(sequence(1, 40), i -> concat('w', id, 'x', i))) as text")
+    found, pairs = materialise(both, "texts"), materialise(both.limit(5).selectExpr("text_hash", "text_hash + 1 as other"), "pairs")
+    plan = c._verified(pairs, found)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan  # the longer texts, too, are cut to those of pairs before they are sent on
+    assert c._verified(pairs, found).count() == 0

@@ -15,9 +15,10 @@ is verified on whole texts: at least 0.8 of the shingles of the copy and of the
 copy's end are the same, and the other goes on for `GOES_ON` words that are no trailer.
 
 That is the short way to most copies. A text whose first continuations are not verified is compared
-with all other texts of its buckets (`others`), by what every verified pair must share: one of the
-copy's last shingles, and one of any so many of its shingles that the rest is less than 0.8. The
-rarest are taken, so that what many texts hold makes no pairs. Nothing is left out by this.
+with all other texts of its buckets (`others`), by what every verified pair must share: one of any so
+many of the copy's shingles that the rest is less than 0.8. The rarest are taken, so that what many
+texts hold makes no pairs; a copy of whose shingles others hold less than 0.8, or none of the last, has
+no pair. Nothing is left out by this.
 
 A last word may itself be cut and is not hashed. Texts of fewer than SKIP + RUN + 1 words are not
 looked up. Equal texts are one. Empty input gives empty output.
@@ -29,8 +30,8 @@ import math
 import re
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelot.session import broadcast_if_small, materialise, spread
+from tidelot.session import broadcast_if_small, estimated_bytes, materialise, spread
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS = 4
@@ -46,7 +47,7 @@ BANDS = 4
 RUN, SKIP = 8, 4
 #: Words by which the longer text must go on.
 GOES_ON = 6
-#: Texts that hold a copy's last shingles, up to which they are its candidates as they are.
+#: Holders of a copy's keys, counted once for each key, up to which no more keys are asked for.
 FEW = 4
 #: Keys beyond those of which a pair must share one; each of them asks for one more that is shared.
 MORE = 8
@@ -240,13 +241,11 @@ def compare(copy: str, other: str, anchors: Anchors) -> bool:
     """Whether the first text is a near-copy of the second up to where it ends, and the second goes on."""
     a, b = copy.split(), other.split()
     x, y = anchors.shingles(a[:-1]), anchors.shingles(b)  # the copy's last word may be cut
-    if not len(x) or not len(y):
-        return False
+    if not len(x) or not len(y) or set(x[-SHINGLE:].tolist()).isdisjoint(y.tolist()):
+        return False  # what follows the copy's last common shingle is at most a shingle
     at = {s: i for i, s in enumerate(x.tolist())}
     where = [(at[s], j) for j, s in enumerate(y.tolist()) if s in at]
-    last = max((i for i, _ in where), default=-1)
-    if last < len(x) - SHINGLE:  # what follows the copy's last common shingle is at most a shingle
-        return False
+    last = max(i for i, _ in where)
     for j in sorted((j for i, j in where if i == last), reverse=True):  # the copy's end may occur more than once in the other
         begin = max(0, j - last)
         u, v = np.unique(x[: last + 1]), np.unique(y[begin : j + 1])
@@ -267,73 +266,251 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([h for h, s, t in zip(hashes, copies, others, strict=True) if compare(s, t, anchors)], pa.int64())], names=["text_hash"])
 
 
-def _of_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text its shingles as a copy (without its last word), the last of them, how far another must reach and how many keys none can do without."""
-    anchors = Anchors()
-    for b in batches:
-        rows = []
-        for text_hash, text in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
-            x = anchors.shingles(text.split()[:-1]).view(np.int64)
-            if len(x):
+def _parts_of(texts: DataFrame) -> int:
+    """Bits of a shingle's hash that name its part: a part holds the shingles of about two MB of stored texts."""
+    return min(16, max(2, math.ceil(math.log2(max(1, estimated_bytes(texts) >> 21)))))
+
+
+def _value(h: np.ndarray, bits: int) -> np.ndarray:
+    """31 bits of a hash behind those of its part. What meets by chance is verified for nothing, but nothing is lost."""
+    return ((h >> np.uint64(33 - bits)) & np.uint64(0x7FFFFFFF)).astype(np.uint32)
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes in the same order: exact up to 128, then eight levels to each doubling."""
+    return np.where(n <= 128, n, np.minimum(255, 128 + np.ceil(8 * np.log2(np.maximum(n, 1) / 128)))).astype(np.uint8)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _blobs(schema: dict[str, pa.DataType], rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([None if (x := r.get(c)) is None else x.tobytes() if isinstance(x, np.ndarray) else x for r in rows], t) for c, t in schema.items()], names=list(schema))
+
+
+#: Shingles of the texts of a batch in a part (`at`: a text's number in the batch, `hashes`: values, lowest bit: the text goes on), or, without these, the texts themselves.
+_HELD = {"part": pa.int32(), "batch": pa.int64(), "at": pa.binary(), "hashes": pa.binary(), "texts": pa.binary(), "reach": pa.binary()}
+#: Besides texts, passed on: for a batch in a part how many others hold each shingle (`held`), for a part who holds what more than one text has.
+_MET = {"kind": pa.string(), "part": pa.int32(), "batch": pa.int64(), "at": pa.binary(), "held": pa.binary(), "texts": pa.binary(), "reach": pa.binary(), "hashes": pa.binary(), "upto": pa.binary(), "batches": pa.binary(), "refs": pa.binary()}
+_KEYS = {"part": pa.int32(), "hash": pa.int64(), "text_hash": pa.int64(), "more": pa.int64()}
+_TASK, _NUMBER = 40, 16  #: bits right of a task's number and of a batch's in that of a text
+_DDL = {pa.int32(): "int", pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
+
+
+def _ddl(schema: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"`{c}` {_DDL[t]}" for c, t in schema.items())
+
+
+def _shingles_of(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        anchors, batch = Anchors(), TaskContext.get().partitionId() << _TASK
+        for b in batches:
+            texts, split, n_words = [], [], 0
+            for i, (text_hash, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                texts.append(text_hash)
+                split.append(text.split())
+                n_words += len(split[-1])
+                if n_words >= 1 << 20 or len(texts) == 1 << 14 or i == b.num_rows - 1:
+                    yield _blobs(_HELD, _held_by(anchors, bits, batch, texts, split))
+                    batch += 1 << _NUMBER
+                    texts, split, n_words = [], [], 0
+
+    return of
+
+
+def _held_by(anchors: Anchors, bits: int, batch: int, texts: list[int], split: list[list[str]]) -> list[dict]:
+    """Rows of `_HELD` for some texts. Of a text with m shingles the last holds its last word, which is not the copy's, and behind all but the last GOES_ON + 1 it goes on."""
+    n = np.array([len(w) for w in split])
+    end = np.cumsum(n)
+    words = list(chain.from_iterable(split))
+    at = np.repeat(np.arange(len(n)), n)
+    m = np.maximum(n - SHINGLE + 1, 0)
+    where = np.arange(len(words)) - np.repeat(end - n, n)
+    fits = np.flatnonzero(where < m[at])
+    at, where = at[fits], where[fits]
+    q = anchors.sums(words)
+    h = _mix((q[fits + SHINGLE] - q[fits]) * anchors.inverse[fits])
+    order = np.lexsort((h, at))
+    h, at, where = h[order], at[order], where[order]
+    first = _starts(at, h)
+    any_of = lambda x: np.logical_or.reduceat(x, first) if len(first) else np.empty(0, bool)
+    goes_on = any_of(where < m[at] - GOES_ON - 1)
+    core = any_of((where < np.maximum(1, m - SHINGLE)[at]) & (where < m[at] - 1))
+    h, at = h[first], at[first]
+    reach = np.ceil(SIMILARITY * np.bincount(at[core], minlength=len(n)) - 1e-9).astype(np.int32)  # shingles that both must have
+    rows = [{"part": (batch >> _NUMBER) % (1 << bits), "batch": batch, "texts": np.array(texts, np.int64), "reach": reach}]
+    part = (h >> np.uint64(64 - bits)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    values = (_value(h, bits) << np.uint32(1) | goes_on)[order]
+    at, part = at[order].astype(np.uint16), part[order]
+    cuts = np.append(_starts(part), len(part))
+    rows += [{"part": int(part[i]), "batch": batch, "at": at[i:j], "hashes": values[i:j]} for i, j in pairwise(cuts)]
+    return rows
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """One part: how many other texts hold each shingle and go on, and the holders of those that several texts have."""
+    rows = table.to_pylist()
+    out = [{"kind": "texts", **{k: r[k] for k in ("batch", "texts", "reach")}} for r in rows if r["hashes"] is None]
+    rows = [r for r in rows if r["hashes"] is not None]
+    if rows:
+        all_values = np.concatenate([np.frombuffer(r["hashes"], np.uint32) for r in rows])
+        sizes = np.array([len(r["at"]) // 2 for r in rows])
+        order = np.argsort(all_values >> np.uint32(1), kind="stable")
+        value, on = all_values[order] >> np.uint32(1), (all_values[order] & np.uint32(1)).astype(np.int64)
+        first = _starts(value)
+        n, n_on = np.diff(np.append(first, len(value))), np.add.reduceat(on, first)
+        held = np.empty(len(value), np.uint8)
+        held[order] = _level(np.repeat(n_on, n) - on)
+        cuts = np.cumsum(sizes)
+        out += [{"kind": "held", "batch": r["batch"], "part": r["part"], "at": r["at"], "held": held[c - k : c]} for r, k, c in zip(rows, sizes, cuts, strict=True)]
+        several = (n > 1) & (n_on > 0)
+        keep = order[np.repeat(several, n) & (on > 0)]
+        kind = np.uint32 if len(rows) <= 1 << 16 else np.uint64
+        refs = np.repeat(np.arange(len(rows), dtype=kind), sizes)[keep] << kind(_NUMBER) | np.concatenate([np.frombuffer(r["at"], np.uint16) for r in rows])[keep]
+        batches = np.array([r["batch"] for r in rows], np.int64)
+        out.append({"kind": "holders", "part": rows[0]["part"], "hashes": value[first[several]], "upto": np.cumsum(n_on[several]), "batches": batches, "refs": refs})
+    return pa.Table.from_batches([_blobs(_MET, out)])
+
+
+def _able(table: pa.Table) -> pa.Table:
+    """Of one batch the texts of whose shingles others hold as many as a pair must share, with how many hold each, in the order of hashes."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["part"] if r["held"] is not None else -1)
+    texts, reach = np.frombuffer(rows[0]["texts"], np.int64), np.frombuffer(rows[0]["reach"], np.int32)
+    at = np.concatenate([np.empty(0, np.uint16), *(np.frombuffer(r["at"], np.uint16) for r in rows[1:])])
+    held = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(r["held"], np.uint8) for r in rows[1:])])
+    able = (np.bincount(at[held > 0], minlength=len(texts)) >= reach) & (reach > 0)
+    order = np.argsort(at, kind="stable")
+    held, cuts = held[order], np.cumsum(np.bincount(at, minlength=len(texts)))
+    some = np.flatnonzero(able)
+    return pa.table({"text_hash": pa.array(texts[some]), "held": pa.array([held[cuts[i - 1] if i else 0 : cuts[i]].tobytes() for i in some], pa.binary())})
+
+
+def _keys_of(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per copy the shingles of which a pair must share more than `more`: the rarest, without those that no other text holds."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = Anchors()
+        for b in batches:
+            out: list[tuple] = []
+            for text_hash, text, held in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                full = anchors.shingles(text.split())
+                x, every = full[:-1], np.unique(full)
+                if not len(x):
+                    continue
                 own = np.unique(x)
-                reach = math.ceil(SIMILARITY * len(np.unique(x[: max(1, len(x) - SHINGLE + 1)])) - 1e-9)  # shingles that both must have
-                rows.append((text_hash, np.unique(x[-SHINGLE:]), own, reach, len(own) - reach + 1))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["text_hash", "ends", "own", "reach", "n_keys"])
-
-
-def _of_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text its different shingles behind which it goes on for more than `GOES_ON` words, and the words up to the last place of each."""
-    anchors = Anchors()
+                n = np.frombuffer(held, np.uint8)[np.searchsorted(every, own)]
+                reach = math.ceil(SIMILARITY * len(np.unique(x[: max(1, len(x) - SHINGLE + 1)])) - 1e-9)
+                if np.count_nonzero(n) < reach or not n[np.searchsorted(own, x[-SHINGLE:])].any():
+                    continue
+                order, n_keys = np.argsort(n, kind="stable"), len(own) - reach + 1
+                more = 0 if n[order[:n_keys]].sum(dtype=np.int64) <= FEW else min(MORE, len(own) - n_keys)
+                keys = own[order[: n_keys + more]][n[order[: n_keys + more]] > 0]
+                out += zip((keys >> np.uint64(64 - bits)).tolist(), _value(keys, bits).tolist(), [text_hash] * len(keys), [more] * len(keys), strict=True)
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(_KEYS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KEYS.values(), strict=True)], names=list(_KEYS))
+
+    return of
+
+
+def _keys_together(table: pa.Table) -> pa.Table:
+    """The keys of a part as one row."""
+    value, text, more = (table.column(c).to_numpy() for c in ("hash", "text_hash", "more"))
+    order = np.lexsort((text, value))
+    blob = lambda x, t: pa.array([x[order].astype(t).tobytes()], pa.binary())
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "keys": blob(value, np.uint32), "copies": blob(text, np.int64), "mores": blob(more, np.uint8)})
+
+
+_FACING = {"bucket": pa.int32(), "copies": pa.binary(), "mores": pa.binary(), "refs": pa.binary()}
+
+
+def _holders_of(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each key the copies that ask for it and the texts that hold it, by buckets of copies."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                hashes, upto, batch = np.frombuffer(r["hashes"], np.uint32), np.frombuffer(r["upto"], np.int64), np.frombuffer(r["batches"], np.int64)
+                refs = np.frombuffer(r["refs"], np.uint32 if len(batch) <= 1 << 16 else np.uint64).astype(np.int64)
+                keys, texts, mores = np.frombuffer(r["keys"], np.uint32), np.frombuffer(r["copies"], np.int64), np.frombuffer(r["mores"], np.uint8)
+                bucket = (texts & ((1 << bits) - 1)).astype(np.int32)
+                order = np.lexsort((bucket, keys))
+                keys, texts, mores, bucket = keys[order], texts[order], mores[order], bucket[order]
+                found = np.searchsorted(hashes, keys)
+                rows: list[dict] = []
+                for i, j in pairwise(np.append(_starts(keys, bucket), len(keys))):
+                    k = found[i]
+                    if k < len(hashes) and hashes[k] == keys[i]:
+                        some = refs[upto[k - 1] if k else 0 : upto[k]]
+                        rows.append({"bucket": int(bucket[i]), "copies": texts[i:j], "mores": mores[i:j], "refs": batch[some >> _NUMBER] + (some & ((1 << _NUMBER) - 1))})
+                    if len(rows) == 1 << 10 or j == len(keys):
+                        yield _blobs(_FACING, rows)
+                        rows = []
+
+    return of
+
+
+def _near(table: pa.Table) -> pa.Table:
+    """Of one bucket of copies the pairs that share more than `more` keys."""
+    of: dict[int, tuple[int, list[np.ndarray]]] = {}
+    for texts, mores, refs in zip(*(table.column(c).to_pylist() for c in ("copies", "mores", "refs")), strict=True):
+        refs = np.frombuffer(refs, np.int64)
+        for text, more in zip(np.frombuffer(texts, np.int64).tolist(), mores, strict=True):
+            of.setdefault(text, (more, []))[1].append(refs)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for text, (more, lists) in of.items():
+        refs, n = np.unique(np.concatenate(lists), return_counts=True)
+        refs = refs[n > more]
+        left.append(np.full(len(refs), text, np.int64))
+        right.append(refs)
+    return pa.table({"text_hash": np.concatenate(left), "ref": np.concatenate(right)})
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for text_hash, text in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
-            y = anchors.shingles(text.split())[: -GOES_ON - 1].view(np.int64)
-            if len(y):
-                shingles, back = np.unique(y[::-1], return_index=True)
-                rows.append((text_hash, shingles, len(y) - back))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["other", "shingles", "upto"])
+        for batch, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(texts, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(batch + np.arange(len(x))), pa.array(x)], names=["ref", "other"])
 
 
 def others(texts: DataFrame, copies: DataFrame) -> DataFrame:
-    """(`text_hash`, `other`): all pairs of `copies` and `texts` that `compare` may verify, without those that it can not.
+    """(`text_hash`, `other`): all pairs of `copies` and `texts` that `compare` may verify, without most of those that it can not.
 
-    Both have `text_hash`, each once, and `text`. A pair must share one of the copy's last shingles, where the other goes on
-    and has as many shingles before as it must share. Where more texts than `FEW` hold a copy's last shingles,
-    it must also share one of `n_keys` shingles, of which the rarest are taken; of `more` than these, as many more.
+    Both have `text_hash`, each once, and `text`; copies are among the texts. Of a copy's shingles others must hold as many as a
+    pair must share, and one of the last. Then a pair must share one of so many that the rest is less than it must share, of which
+    the rarest are taken; of `more` than these, as many more. Shingles travel as arrays, a part of all hashes to a task.
     """
-    mine = lambda df: spread(df.select("text_hash", "text"), "text_hash").mapInArrow(_of_copies, "text_hash bigint, ends array<bigint>, own array<bigint>, reach bigint, n_keys bigint")
-    theirs = spread(texts.select("text_hash", "text"), "text_hash").mapInArrow(_of_others, "other bigint, shingles array<bigint>, upto array<int>")
-    theirs = theirs.select("other", F.explode(F.arrays_zip("shingles", "upto")).alias("x")).select("other", F.col("x.shingles").alias("shingle"), F.col("x.upto").alias("upto"))
-
-    ends = materialise(mine(copies).select("text_hash", "reach", F.explode("ends").alias("shingle")), "copy-ends")
-    wanted = materialise(ends.groupBy("shingle").agg(F.min("reach").alias("least")), "copy-end-shingles")
-    held = theirs.join(broadcast_if_small(wanted), "shingle").filter("upto >= least").drop("least")
-    held = materialise(held, "held-ends")
-    n_held = materialise(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "held-end-counts")
-    cost = materialise(ends.join(broadcast_if_small(n_held), "shingle").groupBy("text_hash").agg(F.sum("n").alias("n")), "copy-costs")
-
-    few = ends.join(broadcast_if_small(cost.filter(F.col("n") <= FEW)), "text_hash", "left_semi").join(held, "shingle").filter("upto >= reach")
-    many = copies.join(broadcast_if_small(cost.filter(F.col("n") > FEW)), "text_hash", "left_semi")
-    own = materialise(mine(many).select("text_hash", "n_keys", F.least(F.lit(MORE), F.size("own") - F.col("n_keys")).alias("more"), F.explode("own").alias("shingle")), "copy-keys")
-    keys = materialise(own.select("shingle").distinct(), "copy-key-shingles")
-    uses = materialise(theirs.join(broadcast_if_small(keys), "shingle", "left_semi").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "key-counts")
-    rank = F.row_number().over(Window.partitionBy("text_hash").orderBy("n", "shingle"))  # over the shingles of one text
-    own = own.join(broadcast_if_small(uses), "shingle", "left").fillna(0, ["n"]).withColumn("rank", rank).filter("rank <= n_keys + more")
-    rare = materialise(own.filter("n > 0").select("text_hash", "shingle", "more"), "rare-keys")
-    at = theirs.join(broadcast_if_small(rare.select("shingle").distinct()), "shingle", "left_semi").select("shingle", "other")
-    near = rare.join(at, "shingle").filter("text_hash <> other").groupBy("text_hash", "other").agg(F.count(F.lit(1)).alias("n"), F.first("more").alias("more"))
-    near = materialise(near.filter("n > more").select("text_hash", "other"), "near-pairs")
-    both = near.join(ends, "text_hash").join(held, ["shingle", "other"]).filter("upto >= reach")
-    return few.filter("text_hash <> other").select("text_hash", "other").unionByName(both.select("text_hash", "other")).distinct()
+    bits = _parts_of(texts)
+    held = spread(texts.select("text_hash", "text"), "text_hash").mapInArrow(_shingles_of(bits), _ddl(_HELD))
+    met = materialise(held.groupBy("part").applyInArrow(_meet, _ddl(_MET)), "met-shingles")
+    facts = met.filter("kind in ('texts', 'held')").select("batch", "part", "at", "held", "texts", "reach")
+    able = materialise(facts.groupBy("batch").applyInArrow(_able, "text_hash bigint, held binary"), "able-copies")
+    keys = copies.select("text_hash", "text").join(broadcast_if_small(able), "text_hash").select("text_hash", "text", "held")
+    keys = keys.mapInArrow(_keys_of(bits), _ddl(_KEYS)).groupBy("part").applyInArrow(_keys_together, "part int, keys binary, copies binary, mores binary")
+    keys = materialise(keys, "copy-keys")
+    facing = met.filter("kind = 'holders'").select("part", "hashes", "upto", "batches", "refs").join(broadcast_if_small(keys), "part")
+    near = facing.mapInArrow(_holders_of(bits), _ddl(_FACING)).groupBy("bucket").applyInArrow(_near, "text_hash bigint, ref bigint")
+    near = materialise(near, "near-pairs")
+    numbers = met.filter("kind = 'texts'").select("batch", "texts").mapInArrow(_numbered, "ref bigint, other bigint")
+    return numbers.join(broadcast_if_small(near), "ref").filter("text_hash <> other").select("text_hash", "other")
 
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    both = pairs.join(found.select("text_hash", F.col("text").alias("copy")), "text_hash").join(found.select(F.col("text_hash").alias("other"), F.col("text").alias("longer")), "other")
-    return both.select("text_hash", "copy", "longer").mapInArrow(_verify, "text_hash bigint").distinct()
+    """(`text_hash`) of `pairs`, as written to files, that `compare` verifies. Where the pairs are few, only their texts move."""
+    copy, longer = found.select("text_hash", F.col("text").alias("copy")), found.select(F.col("text_hash").alias("other"), F.col("text").alias("longer"))
+    copy = copy.join(broadcast_if_small(pairs.select("text_hash", "other")), "text_hash")
+    longer = longer.join(broadcast_if_small(pairs.select("other")), "other", "left_semi")
+    return copy.join(longer, "other").select("text_hash", "copy", "longer").mapInArrow(_verify, "text_hash bigint").distinct()
 
 
 def early_ends(texts: DataFrame, hashes: DataFrame, entries: DataFrame) -> DataFrame:
@@ -348,7 +525,7 @@ def early_ends(texts: DataFrame, hashes: DataFrame, entries: DataFrame) -> DataF
     ids = hashes.join(broadcast_if_small(materialise(members, "bucket-members")), "text_hash").groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("looked_up").alias("looked_up"))
     found = texts.select("doc_id", "text").join(broadcast_if_small(materialise(ids, "copy-ids")), "doc_id").select("text_hash", "looked_up", "text")
     found = materialise(found, "copy-texts")
-    done = materialise(_verified(neighbours(entries), found), "first-copies")
+    done = materialise(_verified(materialise(neighbours(entries), "first-pairs"), found), "first-copies")
     rest = found.filter("looked_up").join(broadcast_if_small(done), "text_hash", "left_anti")
     rank = F.row_number().over(Window.partitionBy("text_hash").orderBy("other"))
     pairs = materialise(others(found, rest).withColumn("rank", rank), "other-pairs")

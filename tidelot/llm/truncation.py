@@ -43,6 +43,7 @@ CLASS_SHARE, KEY_SHARE, CLASS_WEIGHT = 0.6, 0.05, 5
 # A line that version control adds behind a text, and marks that tools leave where they cut.
 PROVENANCE = re.compile(r"\n?\(cherry picked from commit [0-9a-f]{7,40}\)\s*$")
 MARK = re.compile(r"(?:\.\.\.|…|\[…\]|\[(?:\.\.\.|truncated|cut|snip)\]|\((?:truncated|cut)\))\s*$", re.I)
+_PICKED, _MARK_SIGNS = "(cherry picked from commit ", 11  # how a provenance line begins; signs of the longest mark
 SOFT_MARK = "..."  # also common in complete texts
 # Signs that leave a text blank, and those that begin the lines of a body or a hunk; but these name a file.
 _INVISIBLE = " \t\r\n\f\v ​‌‍⁠　﻿"
@@ -106,10 +107,10 @@ class Facts:
     __slots__ = ("change", "closes", "last", "mark", "missing", "newline", "opens", "outside", "whole", "word")
 
     def __init__(self, text: str):
-        body = PROVENANCE.sub("\n", text)
+        body = PROVENANCE.sub("\n", text) if _PICKED in text else text
         self.opens, self.closes = opening(body), closing(body)
         _, self.missing, self.whole, self.outside, self.change = announced(body)
-        m = MARK.search(body)
+        m = MARK.search(body, max(0, len(body.rstrip()) - _MARK_SIGNS))
         self.mark = 0 if not m else 1 if m[0].strip() == SOFT_MARK else 2
         self.last = body.rstrip().rsplit("\n", 1)[-1]
         self.word = closing_word(body)
