@@ -1,6 +1,7 @@
 import random
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,14 @@ def test_only_texts_of_pairs_move(spark):
     plan = c._verified(pairs, found)._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan  # the longer texts, too, are cut to those of pairs before they are sent on
     assert c._verified(pairs, found).count() == 0
+
+
+def test_words_are_those_of_str_split():
+    odd = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert c.split_words(pa.array(odd))[0].tolist() == [len(x.split()) for x in odd]
+    texts = ["", " ", "one", " two  words\n", "\x1c\u0085", "a\x1cb c \r\n d", "", "w " * 20]
+    for some in (texts, texts[:2], []):
+        n, ids, words = c.split_words(pa.array([*some, "x"], pa.string()).slice(0, len(some)))
+        assert n.tolist() == [len(x.split()) for x in some]
+        assert [words[i].as_py() for i in ids] == [w for x in some for w in x.split()]
+    assert list(c.slices(pa.array(["abc", "", "a" * 20, "b", "c", "d"]), 4, 2)) == [(0, 2), (2, 3), (3, 5), (5, 6)]

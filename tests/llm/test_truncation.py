@@ -1,5 +1,8 @@
 import random
+import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +128,65 @@ def test_blank_null_repeated_long_and_empty(spark):
     assert sorted(x["doc_id"] for x in r) == [4, 5, 6]
     assert len({x["incomplete"] for x in r if x["doc_id"] in (4, 5)}) == 1
     assert t.find_incomplete(frame(spark, corpus(2)).limit(0)).count() == 0
+
+
+ODD_TEXTS = [
+    "", " \n ", "one", "fix a bug in a1 b22 and x²3 ½a4 ٣x ª1 ##1 _1_ z\nSigned-off-by: A B <a1@b>\n", "a b\x1cc d\u0085e\r\nf \r", "Index: f\n" + "=" * 67, "w " * 300,
+    "t foo (cherry picked from commit 0123456789)", "fix\n\n  line two \n \n", "diff --git a/x b/x\nindex e69de29..1234567\n--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n a1\n-b\n+c\nmore words 7\n",
+    "diff --git a/x b/x\nnew mode 100755\n", "r1 | me | 2 lines\n\nx", "--- cut here\n+ plus\n\ttab\nlast...\n",
+]
+
+
+def surveyed(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(["s"] * len(texts)), pa.array(texts, pa.string())], names=["doc_id", "source", "text"])
+    out = {kind: [] for kind in t._KINDS}
+    for b in t._survey(iter([batch.slice(0, 4), batch.slice(4), batch.slice(0, 0)])):
+        for r in b.to_pylist():
+            kind = list(t._KINDS)[r["survey"]]
+            out[kind].append({f: r[c] for f, c in t._PLACES[kind].items()})
+    return out
+
+
+def test_survey_counts_words_and_lines_as_one_by_one():
+    uses, ends, lengths = Counter(), Counter(), Counter()
+    for text in ODD_TEXTS:
+        if not text.strip():
+            continue
+        f = t.Facts(text)
+        of = lambda w: (t.key_of(t.word_key(w)), t.key_of(t.shape(w)))
+        uses.update(of(w) for line in f.outside for w in line.split())
+        lines = [line for line in f.outside if line.split()]
+        for line in lines if f.whole else lines[:-1]:
+            w = line.split()
+            ends[of(w[-1])] += 1
+            if not t.is_body(line):
+                lengths["words", t.key_of(t.line_key(line)), len(w)] += 1
+                lengths["signs", t.key_of(t.line_key(line)), len(line)] += 1
+    got, got_ends, got_lengths, out = Counter(), Counter(), Counter(), surveyed(ODD_TEXTS)
+    for r in out["word"]:
+        got[r["key"], r["number"]] += r["n"]
+        got_ends[r["key"], r["number"]] += r["n_ends"]
+    for kind in ("words", "signs"):
+        for r in out[kind]:
+            got_lengths[kind, r["key"], r["number"]] += r["n"]
+    assert len(uses) > 40 and len(lengths) > 10
+    assert got == uses and +got_ends == ends and got_lengths == lengths
+    assert [r["doc_id"] for r in out["doc"]] == [i for i, x in enumerate(ODD_TEXTS) if x.strip()]
+    for r in out["doc"]:
+        f = t.Facts(ODD_TEXTS[r["doc_id"]])
+        assert [r["flags"] >> i & 1 for i in range(1, 5)] == [f.missing, f.whole, f.change, f.newline] and r["flags"] >> len(t._FLAGS) == f.mark
+
+
+def test_shapes_of_all_words_at_once():
+    words = [w for x in ODD_TEXTS for w in x.split()] + ["a0", "0a0", "aa--00##11bb", "é1e", "00", "aA"]
+    assert t.shapes_of(words) == ([t.shape(w) for w in words], [bool(re.search("[0-9]", w)) for w in words])
+    assert t.shapes_of([]) == ([], [])
+
+
+def test_survey_does_not_take_words_one_by_one(monkeypatch):
+    """The work in Python is one step a text, and rows have few columns that are empty."""
+    calls, shape = [], t.shape
+    monkeypatch.setattr(t, "shape", lambda w: calls.append(w) or shape(w))
+    out = surveyed([" ".join(f"w{i}x{j}" for j in range(200)) for i in range(30)])
+    assert sum(r["n"] for r in out["word"]) == 6000 and len(calls) <= 2 * 30
+    assert len(t._SURVEY) <= 14

@@ -11,10 +11,11 @@ import re
 
 # Lines of unified diffs, binary patches and log entries.
 HUNK = re.compile(r"^@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@")
-FILE = re.compile(r"^(?:diff --git |Index: )")
+FILES = ("diff --git ", "Index: ")
 # Lines of a file's header behind its first; lines that are a change by themselves, whatever else follows; how lines begin that a cut may leave unfinished.
 HEADER = re.compile(r"^(?:index |--- |\+\+\+ |=+$|(?:old|new|new file|deleted file) mode |(?:dis)?similarity index |(?:rename|copy) (?:from|to) )")
 CHANGE = re.compile(r"^(?:Binary files .*differ$|Files .* differ$|GIT binary patch$|Cannot display: .*\.$|Property changes on: .)")
+NEW_MODE = re.compile(r"new mode \d{6}$|={67}$")
 EMPTY_FILE = re.compile(r"^index (?:0{7,}\.\.e69de29|e69de29[0-9a-f]*\.\.0{7})")
 BEGINNINGS = ("index ", "--- ", "+++ ", "old mode ", "new mode ", "new file mode ", "deleted file mode ", "similarity index ", "dissimilarity index ", "rename from ", "copy from ", "Binary files ", "GIT binary patch", "@@ -")
 MESSAGE_LINES = re.compile(r"^r\d+ \|[^\n]*\| (\d+) lines?$")
@@ -24,7 +25,7 @@ def whole_change(line: str, file: str) -> bool:
     """Whether a header line of `file` (its first line) can be the last of its file: a new mode, name or an empty file."""
     if line.startswith(("rename to ", "copy to ")):
         return file.endswith(line.split(" to ", 1)[1])
-    return bool(re.match(r"new mode \d{6}$|={67}$", line) or EMPTY_FILE.match(line))
+    return bool(EMPTY_FILE.match(line) if line[:1] == "i" else NEW_MODE.match(line))
 
 
 def announced(text: str) -> tuple[int, bool, bool, list[str], bool]:
@@ -55,7 +56,7 @@ def announced(text: str) -> tuple[int, bool, bool, list[str], bool]:
         if line[:3] == "@@ " and (m := HUNK.match(line)):
             old, new, binary, inside = int(m[1] or 1), int(m[2] or 1), False, True
             header, change = False, True
-        elif FILE.match(line):
+        elif line.startswith(FILES):
             files, old, new, binary = files + 1, 0, 0, False
             file, header, change = line, True, False
         else:

@@ -16,16 +16,19 @@ all texts, whole; keys are hashes of whole words and lines.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import ne
+from string import ascii_letters, digits
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelot.llm.copies import ENTRY, Anchors, early_ends
+from tidelot.llm.copies import ENTRY, Anchors, early_ends, hashed_words, slices, split_words, strings_of, word_hashes
 from tidelot.llm.formats import announced
 from tidelot.session import broadcast_if_small, materialise, scratch_dir, spread
 
@@ -50,6 +53,7 @@ _INVISIBLE = " \t\r\n\f\v ​‌‍⁠　﻿"
 _BODY = (" ", "\t", "+", "-", "")
 _NAMES = ("--- ", "+++ ")
 
+_PLAIN = bytes.maketrans((ascii_letters + digits).encode(), b"a" * 52 + b"0" * 10)
 _DIGITS, _LETTERS = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]+")
 
 
@@ -60,12 +64,12 @@ def key_of(s: str) -> int:
 def opening(text: str) -> str:
     """Class of a text: its first word without numbers."""
     words = text.split(None, 1)
-    return _DIGITS.sub("#", words[0]) if words else ""
+    return without_numbers(words[0]) if words else ""
 
 
 def closing(text: str) -> str:
     """Closing key: the last two words without numbers."""
-    return " ".join(_DIGITS.sub("#", w) for w in text.rsplit(None, 2)[-2:])
+    return " ".join(without_numbers(w) for w in text.rsplit(None, 2)[-2:])
 
 
 @lru_cache(1 << 16)
@@ -79,6 +83,19 @@ def shape(word: str) -> str:
     return _DIGITS.sub("#", _LETTERS.sub("a", word))
 
 
+def shapes_of(words: list[str]) -> tuple[list[str], list[bool]]:
+    """`shape` of each word, and whether it has a number in it; those of plain signs all at once, a line each, as no word holds a line's end."""
+    x = np.frombuffer("\n".join(words).encode().translate(_PLAIN), np.uint8)
+    runs = np.append(True, x[1:] != x[:-1]) if len(x) else np.empty(0, bool)
+    signs = x[runs | ((x != ord("a")) & (x != ord("0")))].tobytes().decode()
+    shapes = signs.replace("0", "#").split("\n")[: len(words)]
+    numbered = list(map(ne, signs.split("\n"), shapes))
+    for i, w in enumerate(words):
+        if not w.isascii():
+            shapes[i], numbered[i] = shape(w), bool(_DIGITS.search(w))
+    return shapes, numbered
+
+
 def closing_word(text: str) -> str:
     """The last word, with a mark that stands for the cut left on."""
     words = text.rsplit(None, 1)
@@ -119,81 +136,102 @@ class Facts:
         self.newline = body.endswith("\n")
 
 
+#: What is true of a text, as bits of `flags`; its mark is in the bits above.
+_FLAGS = ("numbered", "missing", "whole", "change", "newline", "names", "signed")
 _DOC = {
-    "doc_id": pa.int64(), "source": pa.string(), "text_hash": pa.int64(), "opens": pa.int64(), "closes": pa.int64(), "numbered": pa.bool_(), "missing": pa.bool_(), "whole": pa.bool_(), "change": pa.bool_(), "mark": pa.int32(),
-    "newline": pa.bool_(), "word": pa.int64(), "shape": pa.int64(), "line_key": pa.int64(), "names": pa.bool_(), "signed": pa.bool_(), "line_words": pa.int64(), "line_signs": pa.int64(),
+    "doc_id": pa.int64(), "source": pa.string(), "text_hash": pa.int64(), "opens": pa.int64(), "closes": pa.int64(), "flags": pa.int64(),
+    "word": pa.int64(), "shape": pa.int64(), "line_key": pa.int64(), "line_words": pa.int64(), "line_signs": pa.int64(),
 }
 _COUNT = {"key": pa.int64(), "number": pa.int64(), "n": pa.int64(), "n_ends": pa.int64()}
-_SURVEY = pa.schema([("survey", pa.string()), *(_DOC | ENTRY | _COUNT).items()])
+_KINDS = {"doc": _DOC, "anchor": ENTRY, "word": _COUNT, "words": _COUNT, "signs": _COUNT}
 _SPARK = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary"}
+#: Columns of all kinds of rows: the nth field of a type is in the nth column of that type, so that few columns are empty.
+_PLACES = {kind: {f: f"{_SPARK[t]}_{list(fields.values())[:i].count(t)}" for i, (f, t) in enumerate(fields.items())} for kind, fields in _KINDS.items()}
+_SURVEY = pa.schema([("survey", pa.int32()), *{_PLACES[kind][f]: t for kind, fields in _KINDS.items() for f, t in fields.items()}.items()])
 _DDL = ", ".join(f"`{f.name}` {_SPARK[f.type]}" for f in _SURVEY)
 #: Rows that are sent on together, and words that are hashed together.
 _SLICE, _WORDS = 50_000, 1 << 17
 
 
-def _rows(survey: str, fields: list[str], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(rows), _SLICE):
-        part = rows[at : at + _SLICE]
-        columns = dict(zip(fields, zip(*part, strict=True), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([survey] * len(part))] + [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(part), f.type) for f in list(_SURVEY)[1:]], schema=_SURVEY)
+def _columns(kind: str, columns: dict) -> Iterator[pa.RecordBatch]:
+    """Rows of a kind from some of its columns."""
+    n, number = len(next(iter(columns.values()))), list(_KINDS).index(kind)
+    placed = {_PLACES[kind][f]: x for f, x in columns.items()}
+    for at in range(0, n, _SLICE):
+        k = min(_SLICE, n - at)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, number, np.int32))] + [pa.array(placed[f.name][at : at + k], f.type) if f.name in placed else pa.nulls(k, f.type) for f in list(_SURVEY)[1:]], schema=_SURVEY)
+
+
+def _anchors(anchors: Anchors, hashes: np.ndarray, n: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    end, at = np.cumsum(n), 0
+    while at < len(n):
+        begin = end[at] - n[at]
+        upto = max(at + 1, int(np.searchsorted(end, begin + _WORDS, "right")))
+        part = anchors.records(hashes[at:upto], n[at:upto], words[begin : end[upto - 1]])
+        yield from _columns("anchor", {c: part.column(c) for c in ENTRY})
+        at = upto
+
+
+def _signed(h: np.ndarray) -> np.ndarray:
+    """Hashes as `key_of` gives them."""
+    return (h ^ np.uint64(1 << 63)).view(np.int64)
+
 
+def _counts(lines: list[str], unfinished: list[int]) -> tuple[pa.Table, pa.Table]:
+    """Per different word of some lines its key, its shape's, its uses and how often it ends a line; per header line its key, words and signs. Unfinished lines say nothing of how lines end."""
+    strings = pa.array(lines, pa.string())
+    n, ids, words = split_words(strings)
+    end, full, names = np.cumsum(n), n > 0, strings_of(words)
+    full[unfinished] = False
+    shapes, numbered = shapes_of(names)
+    shape_of = pa.array(shapes, pa.string()).dictionary_encode()
+    shape_keys = _signed(word_hashes(strings_of(shape_of.dictionary)))[shape_of.indices.to_numpy()]
+    keys = np.where(numbered, shape_keys, _signed(word_hashes(names)))  # as in `word_key`
+    count = lambda x: np.bincount(x, minlength=len(names))
+    by_word = pa.table({"key": keys, "number": shape_keys, "n": count(ids), "n_ends": count(ids[end[full] - 1])}).filter(pc.field("n") > 0)  # a blank line has a word without uses
 
-def _anchors(anchors: Anchors, texts: list[tuple[int, list[str]]]) -> Iterator[pa.RecordBatch]:
-    some, n_words = [], 0
-    for i, text in enumerate(texts):
-        some.append(text)
-        n_words += len(text[1])
-        if n_words >= _WORDS or i == len(texts) - 1:
-            part = anchors.table(some)
-            n = part.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(["anchor"] * n, pa.string())] + [part.column(f.name) if f.name in ENTRY else pa.nulls(n, f.type) for f in list(_SURVEY)[1:]], schema=_SURVEY)
-            some, n_words = [], 0
+    starts = lambda signs: np.any([pc.starts_with(strings, x).to_numpy(zero_copy_only=False) for x in signs], axis=0)
+    header = full & (starts(_NAMES) | ~starts([x for x in _BODY if x]))  # as in `is_body`
+    used, which = np.unique(ids[(end - n)[header]], return_inverse=True)
+    line_keys = _signed(word_hashes([without_numbers(names[i]) for i in used.tolist()]))[which]
+    return by_word, pa.table({"key": line_keys, "words": n[header], "signs": pc.utf8_length(strings).to_numpy(zero_copy_only=False).astype(np.int64)[header]})
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per text, the anchors of each different text of a batch, and per batch the counts, outside of hunks, of words and of header lines' lengths that all texts are judged by."""
     anchors = Anchors()
     for b in batches:
-        uses, ends, lengths, docs, different = Counter(), Counter(), Counter(), [], {}
-        for doc_id, source, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            if not text.strip(_INVISIBLE):
-                continue
-            text_hash = key_of(text)
-            if text_hash not in different:
-                different[text_hash] = text.split()
-            f = Facts(text)
-            uses.update("\n".join(f.outside).split())
-            if not f.whole:
-                while f.outside and not f.outside[-1].strip():
-                    f.outside.pop()
-                del f.outside[-1:]  # the last line says nothing of how lines end
-            for line in f.outside:
-                if is_body(line):
-                    last = line.rsplit(None, 1)
-                    if last:
-                        ends[last[-1]] += 1
-                else:
-                    w = line.split()
-                    if w:
-                        ends[w[-1]] += 1
-                        k = without_numbers(w[0])
-                        lengths["words", k, len(w)] += 1
-                        lengths["signs", k, len(line)] += 1
-            k = None if is_body(f.last) else line_key(f.last)
-            docs.append(
-                (doc_id, source, text_hash, key_of(f.opens), key_of(f.closes), "#" in f.closes, f.missing, f.whole, f.change, f.mark, f.newline, key_of(word_key(f.word)), key_of(shape(f.word)),
-                 None if k is None else key_of(k), k is not None and k.endswith("-by:"), k is not None and k[:1] in "-+@=", len(f.last.split()), len(f.last))
-            )
-        yield from _rows("doc", list(_DOC), docs)
-        yield from _anchors(anchors, list(different.items()))
-        by_key: dict[str, list[int]] = {}
-        for w, n in uses.items():
-            c = by_key.setdefault(word_key(w), [0, 0])
-            c[0] += n
-            c[1] += ends.get(w, 0)
-        yield from _rows("word", list(_COUNT), [(key_of(w), key_of(shape(w)), n, e) for w, (n, e) in by_key.items()])
-        for kind in ("words", "signs"):
-            yield from _rows(kind, list(_COUNT), [(key_of(k), m, n, None) for (x, k, m), n in lengths.items() if x == kind])
+        seen, docs, counts = set(), [], []
+        for at, upto in slices(b.column(2)):
+            hashes, different, lines, unfinished = [], [], [], []
+            for doc_id, source, text in zip(b.column(0).to_numpy()[at:upto].tolist(), *(strings_of(b.column(i).slice(at, upto - at)) for i in (1, 2)), strict=True):
+                if not text.strip(_INVISIBLE):
+                    continue
+                text_hash = key_of(text)
+                if text_hash not in seen:
+                    seen.add(text_hash)
+                    hashes.append(text_hash)
+                    different.append(text)
+                f = Facts(text)
+                if not f.whole:
+                    last = next((i for i in range(len(f.outside) - 1, -1, -1) if f.outside[i].strip()), None)
+                    if last is not None:
+                        unfinished.append(len(lines) + last)  # the last line says nothing of how lines end
+                lines += f.outside
+                k = None if is_body(f.last) else line_key(f.last)
+                names, signed = k is not None and k.endswith("-by:"), k is not None and k[:1] in "-+@="
+                flags = ("#" in f.closes) | f.missing << 1 | f.whole << 2 | f.change << 3 | f.newline << 4 | names << 5 | signed << 6 | f.mark << len(_FLAGS)
+                docs.append((doc_id, source, text_hash, key_of(f.opens), key_of(f.closes), flags, key_of(word_key(f.word)), key_of(shape(f.word)), None if k is None else key_of(k), len(f.last.split()), len(f.last)))
+            yield from _anchors(anchors, np.array(hashes, np.int64), *hashed_words(pa.array(different, pa.string())))
+            counts.append(_counts(lines, unfinished))
+        if docs:
+            yield from _columns("doc", dict(zip(_DOC, zip(*docs, strict=True), strict=True)))
+            by_word, by_line = (pa.concat_tables(x) for x in zip(*counts, strict=True))
+            by_word = by_word.group_by(["key", "number"], use_threads=False).aggregate([("n", "sum"), ("n_ends", "sum")]).combine_chunks()
+            yield from _columns("word", dict(zip(_COUNT, (by_word.column(c).to_numpy() for c in ("key", "number", "n_sum", "n_ends_sum")), strict=True)))
+            for kind in ("words", "signs"):
+                x = by_line.group_by(["key", kind], use_threads=False).aggregate([([], "count_all")])
+                yield from _columns(kind, {"key": x.column("key").to_numpy(), "number": x.column(kind).to_numpy(), "n": x.column("count_all").to_numpy()})
 
 
 def least_usual(lengths: DataFrame, name: str) -> DataFrame:
@@ -251,11 +289,11 @@ def find_incomplete(documents: DataFrame) -> DataFrame:
     path = scratch_dir(documents.sparkSession, "text-survey")
     texts.mapInArrow(_survey, _DDL).write.partitionBy("survey").parquet(path)
     survey = documents.sparkSession.read.schema(_DDL).parquet(path)  # each kind is a folder, read by itself
-    part = lambda kind, fields: survey.filter(F.col("survey") == kind).select(*fields)
-    docs = part("doc", _DOC)
-    copies = materialise(early_ends(texts, docs.select("doc_id", "text_hash"), part("anchor", ENTRY)), "early-ends")
+    part = lambda kind: survey.filter(F.col("survey") == list(_KINDS).index(kind)).select(*(F.col(c).alias(f) for f, c in _PLACES[kind].items()))
+    docs = part("doc").withColumns({f: F.col("flags").bitwiseAND(1 << i) != 0 for i, f in enumerate(_FLAGS)} | {"mark": F.shiftright("flags", len(_FLAGS))}).drop("flags")
+    copies = materialise(early_ends(texts, docs.select("doc_id", "text_hash"), part("anchor")), "early-ends")
     matched = broadcast_if_small(copies)
     unmatched = docs.join(matched, "text_hash", "left_anti")
-    scored = terminality(unmatched, part("word", _COUNT), part("words", _COUNT), part("signs", _COUNT))
+    scored = terminality(unmatched, part("word"), part("words"), part("signs"))
     found = docs.join(matched, "text_hash", "left_semi").select("doc_id", "source", F.lit("copy").alias("evidence"))
     return found.unionByName(scored.select("doc_id", "source", F.col("by").alias("evidence"))).withColumn("incomplete", F.col("evidence").isNotNull())
